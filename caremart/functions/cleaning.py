@@ -59,6 +59,11 @@ def money_sum(c: str | Column) -> Column:
     return F.sum(_c(c).cast(MONEY)).cast("double")
 
 
+def money_round_sum(c: str | Column, digits: int = 2) -> Column:
+    """Exact sum rounded half-up to ``digits`` decimals, returned as double."""
+    return F.round(F.sum(_c(c).cast(MONEY)), digits).cast("double")
+
+
 def money_avg(c: str | Column) -> Column:
     """Average of an amount column (nulls ignored) from the exact sum."""
     return F.try_divide(money_sum(c), F.count(_c(c)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.bands import age_band
-from caremart.functions.cleaning import money_avg, money_sum, ratio
+from caremart.functions.cleaning import money_avg, money_round_sum, money_sum, ratio
 
 
 def _desc_then(keys: Sequence[str], *first: str) -> list[Column]:
@@ -31,7 +31,7 @@ def type_state_summary(claims: DataFrame) -> DataFrame:
     """A1: Provider_Type, State -> count, rounded total and average paid."""
     return (claims.groupBy("Provider_Type", "State")
             .agg(F.count(F.lit(1)).alias("Total_Claims"),
-                 F.round(money_sum("paid_amount"), 2).alias("Total_Paid_Amount"),
+                 money_round_sum("paid_amount", 2).alias("Total_Paid_Amount"),
                  F.round(money_avg("paid_amount"), 2).alias("Average_Paid_Amount"))
             .orderBy("Provider_Type", "State"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caremart.operators import enrich, reports
+from caremart.operators import dimensions, enrich, pharmacy, reports
 from caremart.plans import oracles as O
 from caremart.sources.tables import Warehouse
 
@@ -49,6 +49,148 @@ def _provider_report(spark, sf):
     return reports.provider_report(enriched(spark, sf))
 
 
+# -- reports over claims (A1-A22) -------------------------------------------
+
+def _claims(spark, sf):
+    return wh(spark, sf).claims
+
+
+_ENRICHED_REPORTS = {
+    "member_utilization": (reports.member_utilization, O.MEMBER_UTILIZATION),
+    "service_trends": (reports.service_trends, O.SERVICE_TRENDS),
+    "age_report": (reports.age_report, O.AGE_REPORT),
+    "facility_report": (reports.facility_report, O.FACILITY_REPORT),
+    "network_report": (reports.network_report, O.NETWORK_REPORT),
+    "gender_report": (reports.gender_report, O.GENDER_REPORT),
+    "race_report": (reports.race_report, O.RACE_REPORT),
+    "state_report": (reports.state_report, O.STATE_REPORT),
+    "readmission_report": (reports.readmission_report, O.READMISSION_REPORT),
+    "denial_report": (reports.denial_report, O.DENIAL_REPORT),
+    "variance_report": (reports.variance_report, O.VARIANCE_REPORT),
+    "cpt_report": (reports.cpt_report, O.CPT_REPORT),
+    "record_count": (reports.record_count, O.RECORD_COUNT),
+    "completeness_report": (reports.completeness_report, O.COMPLETENESS_REPORT),
+}
+
+
+def _over_enriched(fn):
+    return lambda spark, sf: fn(enriched(spark, sf))
+
+
+for _name, (_fn, _sql) in _ENRICHED_REPORTS.items():
+    register(_name, _sql)(_over_enriched(_fn))
+
+_RAW_REPORTS = {
+    "type_state_summary": (reports.type_state_summary, O.TYPE_STATE_SUMMARY),
+    "age_band_report": (reports.age_band_report, O.AGE_BAND_REPORT),
+    "age_sex_report": (reports.age_sex_report, O.AGE_SEX_REPORT),
+    "state_billed_report": (reports.state_billed_report, O.STATE_BILLED_REPORT),
+}
+
+
+def _over_claims(fn):
+    return lambda spark, sf: fn(_claims(spark, sf))
+
+
+for _name, (_fn, _sql) in _RAW_REPORTS.items():
+    register(_name, _sql)(_over_claims(_fn))
+
+
+@register("age_group_sql_function", O.AGE_GROUP_SQL_FUNCTION)
+def _age_group_sql(spark, sf):
+    from caremart.functions.bands import register_functions
+    fn = register_functions(spark)
+    _claims(spark, sf).createOrReplaceTempView("claims")
+    return spark.sql(f"SELECT {fn}(AGE) AS age_group, COUNT(*) AS count FROM claims GROUP BY {fn}(AGE)")
+
+
+@register("status_distribution", O.STATUS_DISTRIBUTION)
+def _status_distribution(spark, sf):
+    return reports.status_distribution(wh(spark, sf).eligibility)
+
+
+@register("location_report", O.LOCATION_REPORT)
+def _location_report(spark, sf):
+    return reports.location_report(wh(spark, sf).providers)
+
+
+@register("specialty_report", O.SPECIALTY_REPORT)
+def _specialty_report(spark, sf):
+    return reports.specialty_report(wh(spark, sf).providers)
+
+
+# -- pharmacy and payor (J1-J4, A23-A27, W1, T3) ----------------------------
+
+@register("member_drug_counts", O.MEMBER_DRUG_COUNTS)
+def _member_drug_counts(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.member_drug_counts(w.claims, w.pharmacy_claims)
+
+
+@register("pharmacy_provider_counts", O.PHARMACY_PROVIDER_COUNTS)
+def _pharmacy_provider_counts(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_provider_counts(w.claims, w.pharmacy_claims, w.providers)
+
+
+@register("pharmacy_provider_payor_totals", O.PHARMACY_PROVIDER_PAYOR_TOTALS)
+def _pharmacy_provider_payor_totals(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_provider_payor_totals(w.claims, w.pharmacy_claims, w.providers, w.payor)
+
+
+@register("pharmacy_claim_detail", O.PHARMACY_CLAIM_DETAIL)
+def _pharmacy_claim_detail(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_claim_detail(w.claims, w.fact_pharm)
+
+
+@register("pharmacy_claim_detail_preview", O.PHARMACY_CLAIM_DETAIL_PREVIEW)
+def _pharmacy_claim_detail_preview(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_claim_detail(w.claims, w.fact_pharm, n=5)
+
+
+@register("pharmacy_monthly_totals", O.PHARMACY_MONTHLY_TOTALS)
+def _pharmacy_monthly_totals(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_monthly_totals(w.claims, w.fact_pharm)
+
+
+@register("top_drug_claim", O.TOP_DRUG_CLAIM)
+def _top_drug_claim(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.top_drug_claim(w.claims, w.fact_pharm)
+
+
+@register("top_paid_by_payor", O.TOP_PAID_BY_PAYOR)
+def _top_paid_by_payor(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.top_paid_by_payor(w.claims, w.payor)
+
+
+# -- dimensions (J5, J6, A28, A29, A32) --------------------------------------
+
+def _cwd(spark, sf):
+    w = wh(spark, sf)
+    return dimensions.claims_with_dimensions(w.claims, w.eligibility, w.providers, since=O.SINCE)
+
+
+@register("claims_with_dimensions", O.CLAIMS_WITH_DIMENSIONS)
+def _claims_with_dimensions(spark, sf):
+    return _cwd(spark, sf)
+
+
+@register("eligibility_impact", O.ELIGIBILITY_IMPACT)
+def _eligibility_impact(spark, sf):
+    return dimensions.eligibility_impact(_cwd(spark, sf))
+
+
+@register("location_impact", O.LOCATION_IMPACT)
+def _location_impact(spark, sf):
+    return dimensions.location_impact(_cwd(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in _REGISTRY.items()}
 
