@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caremart.operators import dimensions, enrich, pharmacy, reports
+from caremart.operators import dimensions, enrich, params, pharmacy, reports
 from caremart.plans import oracles as O
 from caremart.sources.tables import Warehouse
 
@@ -191,6 +191,118 @@ def _location_impact(spark, sf):
     return dimensions.location_impact(_cwd(spark, sf))
 
 
+# -- parameterised summaries (Q1-Q10, S6) -----------------------------------
+
+_P = O.P
+
+
+@register("claims_by_date_range", O.q1_sql(_P["start"], _P["end"]))
+def _q1(spark, sf):
+    return params.claims_by_date_range(_claims(spark, sf), _P["start"], _P["end"])
+
+
+@register("claims_by_date_range_filtered", O.q1_sql(_P["start"], _P["end"], "Inpatient", 10000))
+def _q1_filtered(spark, sf):
+    return params.claims_by_date_range(_claims(spark, sf), _P["start"], _P["end"],
+                                       service_type="Inpatient", min_amount=10000)
+
+
+_Q2_CONFIG = {
+    "date_range": {"start_date": _P["start"], "end_date": _P["end"]},
+    "filters": {"states": _P["states"], "age_min": 18, "age_max": 65,
+                "service_types": ["Inpatient", "Outpatient"], "network_status": ["In Network"]},
+    "aggregation": {"group_by": ["State", "Type_of_Service"], "metrics": ["count", "sum", "avg"]},
+}
+
+
+@register("dynamic_analysis", O.q2_sql(_P["start"], _P["end"], _P["states"], 18, 65,
+                                       ["Inpatient", "Outpatient"], ["In Network"]))
+def _q2(spark, sf):
+    return params.dynamic_analysis(_claims(spark, sf), _Q2_CONFIG)
+
+
+@register("state_service_summary", O.q3_sql(_P["start"], _P["end"], _P["states"], _P["min_amount"]))
+def _q3(spark, sf):
+    return params.state_service_summary(_claims(spark, sf), _P["start"], _P["end"],
+                                        states=_P["states"], min_amount=_P["min_amount"])
+
+
+@register("claims_summary_all_services", O.q4_sql(_P["start"], _P["end"], "All", _P["states"], 0))
+def _q4(spark, sf):
+    return params.claims_summary(_claims(spark, sf), _P["start"], _P["end"], service_type="All",
+                                 states=_P["states"], min_amount=0)
+
+
+@register("claims_summary_one_service", O.q4_sql(_P["start"], _P["end"], "Emergency", None, 0))
+def _q4_one(spark, sf):
+    return params.claims_summary(_claims(spark, sf), _P["start"], _P["end"],
+                                 service_type="Emergency", min_amount=0)
+
+
+@register("service_provider_summary", O.q5_sql(_P["start"], _P["end"], 5000))
+def _q5(spark, sf):
+    return params.service_provider_summary(_claims(spark, sf), _P["start"], _P["end"], 5000)
+
+
+@register("view_state_totals", O.q6_sql(_P["start"], _P["end"], _P["states"][:2], _P["min_amount"]))
+def _q6(spark, sf):
+    params.filtered_view(_claims(spark, sf), "filtered_claims", _P["start"], _P["end"],
+                         states=_P["states"][:2], min_amount=_P["min_amount"])
+    return params.view_state_totals(spark, "filtered_claims")
+
+
+_Q7_FILTERS = {"State": _P["states"], "billed_amount": {"min": 1000}, "payment_status": "Paid"}
+
+
+@register("grouped_summary", O.q7_sql(["State", "Type_of_Service"], [
+    f"State IN ({O._sq(_P['states'])})", "billed_amount >= 1000", "payment_status = 'Paid'"]))
+def _q7(spark, sf):
+    return params.grouped_summary(_claims(spark, sf), ["State", "Type_of_Service"], _Q7_FILTERS)
+
+
+@register("grouped_summary_range", O.q7_sql(["Provider_Type"], [
+    "billed_amount >= 1000", "billed_amount <= 50000", "AGE >= 30", "AGE <= 60"]))
+def _q7_range(spark, sf):
+    return params.grouped_summary(
+        _claims(spark, sf), ["Provider_Type"],
+        {"billed_amount": {"min": 1000, "max": 50000}, "AGE": {"min": 30, "max": 60}},
+        order_by="claim_count DESC")
+
+
+def _q8(name):
+    def run(spark, sf):
+        w = wh(spark, sf)
+        return params.run_named_query({"claims": w.claims, "providerlist": w.providerlist},
+                                      O.Q8_CONFIG, name)
+    return run
+
+
+register("named_query_monthly_summary", O.Q8_MONTHLY)(_q8("monthly_summary"))
+register("named_query_provider_performance", O.Q8_PROVIDER)(_q8("provider_performance"))
+
+_Q9 = {"states": _P["states"], "min_amount": _P["min_amount"],
+       "service_types": ["Inpatient", "Outpatient"], "payment_statuses": ["Paid", "Denied"]}
+
+
+@register("claims_summary_lists", O.q4_sql(_P["start"], _P["end"], "All", _P["states"], _P["min_amount"],
+                                           _Q9["service_types"], _Q9["payment_statuses"]))
+def _q9(spark, sf):
+    return params.claims_summary(_claims(spark, sf), _P["start"], _P["end"], **_Q9)
+
+
+# The validator's state list is the fixture's own: nation names by rule.
+FIXTURE_STATES = frozenset(f"NATION_{i}" for i in range(25))
+
+
+@register("validated_claims_summary", O.q4_sql(_P["start"], _P["end"], "All", _P["states"],
+                                               _P["min_amount"], _Q9["service_types"],
+                                               _Q9["payment_statuses"]))
+def _q10(spark, sf):
+    args = dict(_Q9, states=[s.lower() for s in _P["states"]])
+    return params.validated_claims_summary(_claims(spark, sf), _P["start"], _P["end"],
+                                           valid_states=FIXTURE_STATES, **args)
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in _REGISTRY.items()}
 
