@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caremart.operators import dimensions, enrich, params, pharmacy, reports
+from caremart import sources
+from caremart.functions import predicates
+from caremart.operators import dimensions, enrich, params, pharmacy, quality, reports, scd, snapshots
 from caremart.plans import oracles as O
 from caremart.sources.tables import Warehouse
 
@@ -303,6 +305,109 @@ def _q10(spark, sf):
                                            valid_states=FIXTURE_STATES, **args)
 
 
+# -- slowly-changing dimensions (M1-M9, A30) ----------------------------------
+# Registered runs use a fixed as-of date; created_timestamp (wall clock) is
+# left out of the compared output.
+
+def _no_ts(df):
+    return df.drop("created_timestamp")
+
+
+def _scd2_init(spark, sf):
+    return scd.scd2_init(wh(spark, sf).eligibility)
+
+
+def _scd2(spark, sf):
+    w = wh(spark, sf)
+    return scd.scd2_apply(scd.scd2_init(w.eligibility), w.eligibility_updates, as_of=O.AS_OF)
+
+
+register("scd2_init", O.SCD2_INIT)(lambda spark, sf: _no_ts(_scd2_init(spark, sf)))
+register("scd2_changes", O.SCD2_CHANGES)(
+    lambda spark, sf: scd.scd2_changes(
+        _scd2_init(spark, sf),
+        scd.latest_per_key(wh(spark, sf).eligibility_updates, "member_id",
+                           [scd.parse_date("eligibility_start_date"), scd.F.col("eligibility_id")])))
+register("scd2_apply", O.SCD2_APPLY)(lambda spark, sf: _no_ts(_scd2(spark, sf)))
+register("change_summary", O.CHANGE_SUMMARY)(lambda spark, sf: scd.change_summary(_scd2(spark, sf)))
+
+
+def _providers_after(spark, sf):
+    w = wh(spark, sf)
+    return scd.scd1_upsert(w.providers, w.provider_updates, "provider_id")
+
+
+register("scd1_upsert", O.SCD1_UPSERT)(_providers_after)
+register("scd1_upsert_columns", O.SCD1_UPSERT_COLUMNS)(
+    lambda spark, sf: scd.scd1_upsert(wh(spark, sf).providers, wh(spark, sf).provider_updates,
+                                      "provider_id", ["practice_location", "name"]))
+register("scd1_before_image", O.AFFECTED_BEFORE)(
+    lambda spark, sf: scd.affected_rows(wh(spark, sf).providers, wh(spark, sf).provider_updates))
+register("scd1_after_image", O.AFFECTED_AFTER)(
+    lambda spark, sf: scd.affected_rows(_providers_after(spark, sf), wh(spark, sf).provider_updates))
+register("upsert_summary", O.UPSERT_SUMMARY)(
+    lambda spark, sf: scd.upsert_summary(wh(spark, sf).providers, _providers_after(spark, sf),
+                                         wh(spark, sf).provider_updates))
+
+
+def _dim2(spark, sf):
+    w = wh(spark, sf)
+    return scd.scd2_apply_dim(w.dim_provider, w.dim_provider_updates)
+
+
+register("scd2_apply_dim", O.SCD2_APPLY_DIM)(_dim2)
+
+
+@register("assign_dim_key", O.ASSIGN_DIM_KEY)
+def _assign_dim_key(spark, sf):
+    from pyspark.sql import functions as F
+    facts = _claims(spark, sf).select(
+        "claim_id", "member_id", scd.parse_date("date_of_service").alias("claim_date"),
+        F.col("billed_amount").alias("claim_amount"), F.col("ProviderID").alias("provider_id"))
+    return scd.assign_dim_key(facts, _dim2(spark, sf)).drop("provider_id")
+
+
+# -- data quality (K1-K5) -------------------------------------------------------
+
+register("duplicate_provider_ids", O.DUPLICATE_PROVIDER_IDS)(
+    lambda spark, sf: quality.duplicate_keys(wh(spark, sf).providers, "provider_id"))
+register("duplicate_member_versions", O.DUPLICATE_MEMBER_VERSIONS)(
+    lambda spark, sf: quality.duplicate_keys(_scd2(spark, sf), "member_id"))
+register("missing_required", O.MISSING_REQUIRED)(
+    lambda spark, sf: quality.missing_required(
+        wh(spark, sf).providers, ["name", "specialty", "practice_location", "provider_id"]))
+register("pcp_distribution", O.PCP_DISTRIBUTION)(
+    lambda spark, sf: quality.value_distribution(wh(spark, sf).providers, "is_pcp"))
+register("period_overlaps", O.PERIOD_OVERLAPS)(
+    lambda spark, sf: _no_ts(quality.period_overlaps(
+        _scd2(spark, sf), "member_id", "record_start_date", "record_end_date", "eligibility_id")))
+
+
+# -- previews, snapshots, bands and row rewrites (S2, P1, P9, P12-P14) ------
+
+register("claims_preview", O.CLAIMS_PREVIEW)(
+    lambda spark, sf: sources.preview(_claims(spark, sf), 10, ["claim_id"]))
+register("paid_claims_snapshot", O.PAID_CLAIMS_SNAPSHOT)(
+    lambda spark, sf: snapshots.paid_claims_snapshot(_claims(spark, sf)))
+register("age_bands", O.AGE_BANDS)(lambda spark, sf: snapshots.age_bands(_claims(spark, sf)))
+register("rewrite_by_key", O.REWRITE_BY_KEY)(
+    lambda spark, sf: predicates.rewrite_by_key(wh(spark, sf).providers, "provider_id", "specialty",
+                                                {"PR6": "Cardiology", "PR7": "Radiology"}))
+register("rewrite_by_frame", O.REWRITE_BY_FRAME)(
+    lambda spark, sf: predicates.rewrite_by_key(wh(spark, sf).providers, "provider_id",
+                                                "practice_location", wh(spark, sf).provider_updates))
+register("update_where", O.UPDATE_WHERE)(
+    lambda spark, sf: predicates.update_where(
+        predicates.update_where(wh(spark, sf).providers, "provider_id = 'PR4'",
+                                {"specialty": "Internal Medicine"}),
+        "provider_id = 'PR1'", {"specialty": "Dermatology", "practice_location": "Skin Care Center"}))
+register("filter_keys_list", O.FILTER_KEYS_LIST)(
+    lambda spark, sf: predicates.filter_keys(wh(spark, sf).providers, "provider_id", ["PR6", "PR7"]))
+register("filter_keys_frame", O.FILTER_KEYS_FRAME)(
+    lambda spark, sf: predicates.filter_keys(wh(spark, sf).providers, "provider_id",
+                                             wh(spark, sf).provider_updates))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in _REGISTRY.items()}
 
