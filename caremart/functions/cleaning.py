@@ -33,8 +33,13 @@ def null_sentinel(c: str | Column, sentinels: Sequence[str] = NULL_SENTINELS) ->
 
 
 def parse_date(c: str | Column, formats: Sequence[str] = (ISO_DATE, US_DATE)) -> Column:
-    """First format that parses; unparseable text -> null (never raises)."""
+    """First format that parses; unparseable text -> null (never raises).
+
+    Sentinel text is nulled first: it can never parse, and skipping it keeps
+    the parser off its (slow) failure path for the most common bad value.
+    """
     c = _c(c)
+    c = null_sentinel(c)
     parsed = [F.try_to_date(c, f) for f in formats]
     return parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
 

@@ -28,8 +28,16 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+_WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
+
+
 def wh(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(spark, sf_dir)
+    """One warehouse per (application, folder): its frames are lazy plans, so
+    queries share the resolved tables instead of re-reading catalog metadata."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _WAREHOUSES:
+        _WAREHOUSES[key] = Warehouse(spark, sf_dir)
+    return _WAREHOUSES[key]
 
 
 def enriched(spark: SparkSession, sf_dir: str, profile: str = "lenient") -> DataFrame:

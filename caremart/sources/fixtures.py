@@ -16,8 +16,10 @@ RAW_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Only these raw tables feed the claims domain.
+# Only these raw tables feed the claims domain; the first two are facts (they
+# grow with the data and are never broadcast).
 DOMAIN_SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
+FACT_SOURCES = ("lineitem", "orders")
 
 
 def _mdy(col: str) -> str:

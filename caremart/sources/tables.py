@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -9,29 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from caremart.sources.fixtures import ALIASES, DOMAIN_SOURCES, DOMAIN_SQL, RAW_TABLES
+from caremart.sources.fixtures import ALIASES, DOMAIN_SOURCES, DOMAIN_SQL, FACT_SOURCES, RAW_TABLES
 
 
 class Warehouse:
     """The claims warehouse over one folder of parquet files.
 
-    Raw tables are registered as temporary views under their own names, and
-    each domain table is the DataFrame of its fixture SQL over those views.  All
-    frames are lazy: nothing is read until an action runs, and Catalyst prunes
-    columns and pushes filters into the parquet scans of every query.
+    Raw tables are read lazily and exposed to SQL as temporary views under
+    their own names; each domain table is its fixture SQL over those views.
+
+    With ``materialize=True`` (default) a domain table is written once, as
+    parquet, into the cluster's shared checkpoint folder and read back from
+    there - the stored claims table the reports expect.  The copy is keyed by
+    a fingerprint of the source files (paths, sizes, modification times), so
+    a changed source gets a new copy, and being files in the shared folder it
+    survives lost executors.  Queries then scan a columnar claims table with
+    column pruning and filter pushdown instead of re-deriving it.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
         self._frames: dict[str, DataFrame] = {}
         for t in DOMAIN_SOURCES:
-            spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            self.raw(t).createOrReplaceTempView(t)
 
     def raw(self, name: str) -> DataFrame:
         if name not in RAW_TABLES:
             raise KeyError(f"unknown raw table {name!r}")
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return balanced(df) if name in FACT_SOURCES else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -44,7 +53,10 @@ class Warehouse:
         if base not in DOMAIN_SQL:
             raise KeyError(f"unknown table {name!r}")
         if base not in self._frames:
-            self._frames[base] = self.spark.sql(DOMAIN_SQL[base])
+            df = self.spark.sql(DOMAIN_SQL[base])
+            if self.materialize:
+                df = _materialized(self.spark, self.sf_dir, base, df)
+            self._frames[base] = df
         return self._frames[base]
 
     def register_views(self, names: Iterable[str] = tuple(DOMAIN_SQL) + tuple(ALIASES)) -> None:
@@ -53,6 +65,44 @@ class Warehouse:
             self.table(n).createOrReplaceTempView(n)
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it has fewer splits than cores.
+
+    A small file with one parquet row group is a single split, which would
+    run every downstream broadcast join and projection in one task.  Large
+    inputs already have many splits and are returned untouched (no shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    parallelism = sc.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df
+
+
+def _hadoop_fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    h = hashlib.sha1(sf_dir.encode())
+    for t in DOMAIN_SOURCES:
+        p, fs = _hadoop_fs(spark, f"{sf_dir}/{t}.parquet")
+        st = fs.getFileStatus(p)
+        h.update(f"{t}:{st.getLen()}:{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
+
+
+def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+    path = shared_path(spark, "caremart-tables", _fingerprint(spark, sf_dir), name)
+    p, fs = _hadoop_fs(spark, path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+    if not fs.exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _bare(name: str) -> str:
     return name.split(".")[-1].strip("`")
 
