@@ -35,11 +35,15 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
 
 
-def period_overlaps(df: DataFrame, key: str, start: str, end: str, id_col: str) -> DataFrame:
+def period_overlaps(df: DataFrame, key: str, start: str, end: str, id_col: str,
+                    half_open: bool = False) -> DataFrame:
     """K5: rows whose validity period overlaps an earlier period of the same key.
 
     Rows of one key are ordered by (start, id).  A row overlaps when some
-    earlier row ends on or after its start (a null end is open).  Computed
+    earlier row ends on or after its start (a null end is open); with
+    ``half_open`` periods are ``[start, end)``, so an earlier row must end
+    after the start (SCD2 record validity: a version closed on the day the
+    next one starts does not overlap it).  Computed
     without holding a key's rows in one task:
 
     1. per (key, start day): the latest end, and the smallest id among rows
@@ -53,12 +57,16 @@ def period_overlaps(df: DataFrame, key: str, start: str, end: str, id_col: str)
     e = parse_date(F.col(end)) if dict(df.dtypes)[end] == "string" else F.col(end)
     e = F.coalesce(e, F.lit(OPEN_END))
     rows = df.withColumns({"__s": s, "__e": e})
+
+    def reaches(end_col, start_col):
+        return end_col > start_col if half_open else end_col >= start_col
+
     days = (rows.groupBy(key, "__s")
             .agg(F.max("__e").alias("__day_end"),
-                 F.min(F.when(F.col("__e") >= F.col("__s"), F.col(id_col))).alias("__first_id")))
+                 F.min(F.when(reaches(F.col("__e"), F.col("__s")), F.col(id_col))).alias("__first_id")))
     w = Window.partitionBy(key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("__prev_end", F.max("__day_end").over(w))
     j = rows.join(days, [key, "__s"], "inner")
-    overlap = ((F.col("__prev_end") >= F.col("__s"))
+    overlap = (reaches(F.col("__prev_end"), F.col("__s"))
                | (F.col(id_col) > F.col("__first_id")))
     return j.where(overlap).select(*df.columns)

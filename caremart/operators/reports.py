@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.bands import age_band
-from caremart.functions.cleaning import money_avg, money_round_sum, money_sum, ratio
+from caremart.functions.cleaning import fixed_avg, money_avg, money_round_sum, money_sum, ratio
 
 
 def _desc_then(keys: Sequence[str], *first: str) -> list[Column]:
@@ -118,7 +118,7 @@ def network_report(enriched: DataFrame) -> DataFrame:
                  money_sum("paid_amount").alias("total_paid"),
                  money_avg("billed_amount").alias("avg_billed"),
                  money_avg("paid_amount").alias("avg_paid"),
-                 F.avg("payment_rate").alias("avg_payment_rate")))
+                 fixed_avg("payment_rate").alias("avg_payment_rate")))
 
 
 def gender_report(enriched: DataFrame) -> DataFrame:

@@ -331,11 +331,14 @@ def _scd2(spark, sf):
 
 
 register("scd2_init", O.SCD2_INIT)(lambda spark, sf: _no_ts(_scd2_init(spark, sf)))
-register("scd2_changes", O.SCD2_CHANGES)(
-    lambda spark, sf: scd.scd2_changes(
-        _scd2_init(spark, sf),
-        scd.latest_per_key(wh(spark, sf).eligibility_updates, "member_id",
-                           [scd.parse_date("eligibility_start_date"), scd.F.col("eligibility_id")])))
+@register("scd2_changes", O.SCD2_CHANGES)
+def _scd2_changes(spark, sf):
+    from pyspark.sql import functions as F
+
+    from caremart.functions.cleaning import parse_date
+    latest = scd.latest_per_key(wh(spark, sf).eligibility_updates, "member_id",
+                                [parse_date("eligibility_start_date"), F.col("eligibility_id")])
+    return scd.scd2_changes(_scd2_init(spark, sf), latest)
 register("scd2_apply", O.SCD2_APPLY)(lambda spark, sf: _no_ts(_scd2(spark, sf)))
 register("change_summary", O.CHANGE_SUMMARY)(lambda spark, sf: scd.change_summary(_scd2(spark, sf)))
 
@@ -388,7 +391,8 @@ register("pcp_distribution", O.PCP_DISTRIBUTION)(
     lambda spark, sf: quality.value_distribution(wh(spark, sf).providers, "is_pcp"))
 register("period_overlaps", O.PERIOD_OVERLAPS)(
     lambda spark, sf: _no_ts(quality.period_overlaps(
-        _scd2(spark, sf), "member_id", "record_start_date", "record_end_date", "eligibility_id")))
+        _scd2(spark, sf), "member_id", "record_start_date", "record_end_date", "eligibility_id",
+        half_open=True)))
 
 
 # -- previews, snapshots, bands and row rewrites (S2, P1, P9, P12-P14) ------
