@@ -13,7 +13,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from caremart.session import get_session
 
-    spark = get_session("local[4]", 8, app_name="caremart-tests")
+    wh_dir = tempfile.mkdtemp(prefix="caremart-test-warehouse-")
+    spark = get_session("local[4]", 8, app_name="caremart-tests",
+                        extra={"spark.sql.warehouse.dir": wh_dir})
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caremart-test-ckpt-"))
     yield spark
