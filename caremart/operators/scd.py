@@ -13,8 +13,12 @@ Shape of one SCD2 run over a large dimension:
 * the dimension is read once more and joined (left) to the changed keys to
   close rows, and the new versions and new keys are appended by name.
 
-Joins are plain equi-joins: AQE broadcasts the side whose measured size is
-small and splits skewed partitions of the other.
+The change batch is checkpointed and measured once (``bounded_broadcast``);
+when it fits the broadcast threshold every join against the stored table uses
+it as the build side, so the table is scanned but never shuffled.  Anti-joins
+("keys the table has never seen") probe the table with the batch's keys
+first, so even they keep the table on the streaming side.  A batch too large
+to broadcast falls back to shuffle joins, where AQE splits skewed keys.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import parse_date
 from caremart.functions.predicates import to_date_value
+from caremart.operators.joins import bounded_broadcast, bounded_like, keys_seen
 
 # The open end date, and the change-reason labels written into
 # the eligibility history.
@@ -122,10 +127,10 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
     as_of_date = to_date_value(as_of) if as_of is not None else _dt.date.today()
     base_cols = list(changes.columns)
     order = [parse_date(start_col)] + ([F.col(id_col)] if id_col else [])
-    chg = latest_per_key(changes, key, order)
+    chg, small = bounded_broadcast(latest_per_key(changes, key, order))
 
     changed = scd2_changes(current, chg, key, tracked)
-    changed_keys = changed.select(F.col(key), F.lit(True).alias("__changed"))
+    changed_keys = bounded_like(changed.select(F.col(key), F.lit(True).alias("__changed")), small)
 
     # close the current row of each changed key; every other row is kept as is
     closing = F.coalesce(F.col("__changed"), F.lit(False)) & F.col("is_current_record")
@@ -139,7 +144,7 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
     max_version = (current.join(changed_keys.select(key), key, "left_semi")
                    .groupBy(key).agg(F.max("version_number").alias("__max_version")))
     start = parse_date(start_col) if start_policy == "source" else F.lit(as_of_date)
-    new_versions = (changed.join(max_version, key, "left")
+    new_versions = (changed.join(bounded_like(max_version, small), key, "left")
                     .withColumns({"record_start_date": start,
                                   "record_end_date": F.lit(OPEN_END),
                                   "is_current_record": F.lit(True),
@@ -148,7 +153,8 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
                                   "created_timestamp": _ts(as_of_ts)})
                     .drop("__max_version"))
 
-    new_members = (chg.join(current.select(key), key, "left_anti")
+    seen = bounded_like(keys_seen(current, chg, key, small), small)
+    new_members = (chg.join(seen, key, "left_anti")
                    .withColumns({"record_start_date": parse_date(start_col),
                                  "record_end_date": F.lit(OPEN_END),
                                  "is_current_record": F.lit(True),
@@ -181,29 +187,27 @@ def scd1_upsert(current: DataFrame, changes: DataFrame, key: str = "provider_id"
     value - a null included, via a match marker rather than ``coalesce`` -
     and the others keep the stored value.
     """
+    chg, small = bounded_broadcast(changes)
     if update_columns is None:
-        kept = current.join(changes.select(key), key, "left_anti")
-        return kept.unionByName(changes.select(*current.columns))
+        kept = current.join(chg.select(key), key, "left_anti")
+        return kept.unionByName(chg.select(*current.columns))
     upd = set(update_columns)
-    src = changes.select(*[F.col(c).alias(f"__s_{c}") for c in current.columns],
-                         F.lit(True).alias("__s_hit"))
-    tgt = current.select(*[F.col(c).alias(f"__t_{c}") for c in current.columns],
-                         F.lit(True).alias("__t_hit"))
-    j = tgt.join(src, F.col(f"__t_{key}") == F.col(f"__s_{key}"), "full_outer")
-    out = []
-    for c in current.columns:
-        s, t = F.col(f"__s_{c}"), F.col(f"__t_{c}")
-        if c in upd:  # source wins wherever a source row exists
-            val = F.when(F.col("__s_hit").isNotNull(), s).otherwise(t)
-        else:  # target wins wherever a target row exists
-            val = F.when(F.col("__t_hit").isNotNull(), t).otherwise(s)
-        out.append(val.alias(c))
-    return j.select(*out)
+    src = bounded_like(chg.select(*[F.col(c).alias(f"__s_{c}") for c in current.columns],
+                                  F.lit(True).alias("__s_hit")), small)
+    # stored rows, updated where matched (the table streams, the batch is built)
+    j = current.join(src, current[key] == src[f"__s_{key}"], "left")
+    kept = j.select(*[(F.when(F.col("__s_hit"), F.col(f"__s_{c}")).otherwise(F.col(c))
+                       if c in upd else F.col(c)).alias(c) for c in current.columns])
+    # batch rows for keys the table has never seen
+    seen = bounded_like(keys_seen(current, chg, key, small), small)
+    inserts = chg.join(seen, key, "left_anti").select(*current.columns)
+    return kept.unionByName(inserts)
 
 
 def affected_rows(df: DataFrame, changes: DataFrame, key: str = "provider_id") -> DataFrame:
     """M6: rows of ``df`` whose key appears in the change set (semi-join)."""
-    return df.join(changes.select(key), key, "left_semi")
+    chg, small = bounded_broadcast(changes.select(key))
+    return df.join(chg, key, "left_semi")
 
 
 def upsert_summary(before: DataFrame, after: DataFrame, changes: DataFrame,
@@ -213,10 +217,11 @@ def upsert_summary(before: DataFrame, after: DataFrame, changes: DataFrame,
     One tagged union and one aggregation: no cross join of single-row frames
     and no counts pulled to the driver.
     """
-    keys = before.select(key)
+    chg, small = bounded_broadcast(changes.select(key))
+    seen = bounded_like(keys_seen(before, chg, key, small), small)
     tagged = (after.select(F.lit("after").alias("__tag"))
-              .unionByName(changes.join(keys, key, "left_anti").select(F.lit("new").alias("__tag")))
-              .unionByName(changes.join(keys, key, "left_semi").select(F.lit("upd").alias("__tag"))))
+              .unionByName(chg.join(seen, key, "left_anti").select(F.lit("new").alias("__tag")))
+              .unionByName(chg.join(seen, key, "left_semi").select(F.lit("upd").alias("__tag"))))
 
     def n(tag: str) -> Column:
         return F.count(F.when(F.col("__tag") == tag, 1))
@@ -241,13 +246,15 @@ def scd2_apply_dim(dim: DataFrame, updates: DataFrame, natural_key: str = "provi
     identical updates change nothing.
     """
     attrs = [c for c in dim.columns if c not in (natural_key, start, end, current, surrogate_key)]
-    upd = latest_per_key(updates, natural_key, [F.col(start), F.col(surrogate_key)])
+    upd, small = bounded_broadcast(
+        latest_per_key(updates, natural_key, [F.col(start), F.col(surrogate_key)]))
     cur = dim.where(F.col(current)).select(
         F.col(natural_key), *[F.col(c).alias(f"__cur_{c}") for c in attrs])
     known = upd.join(cur, natural_key, "inner")
     changed = known.where(_differs(attrs, "__cur_", "")).select(*upd.columns)
-    fresh = upd.join(dim.select(natural_key), natural_key, "left_anti")
-    closes = changed.select(F.col(natural_key), F.col(start).alias("__close_at"))
+    seen = bounded_like(keys_seen(dim, upd, natural_key, small), small)
+    fresh = upd.join(seen, natural_key, "left_anti")
+    closes = bounded_like(changed.select(F.col(natural_key), F.col(start).alias("__close_at")), small)
     closing = F.col("__close_at").isNotNull() & F.col(current)
     existing = (dim.join(closes, natural_key, "left")
                 .withColumns({end: F.when(closing, F.col("__close_at")).otherwise(F.col(end)),
