@@ -33,8 +33,14 @@ class Warehouse:
         self.sf_dir = sf_dir.rstrip("/")
         self.materialize = materialize
         self._frames: dict[str, DataFrame] = {}
-        for t in DOMAIN_SOURCES:
-            self.raw(t).createOrReplaceTempView(t)
+        self._raw = {t: self.raw(t) for t in DOMAIN_SOURCES}
+        self._publish_raw()
+
+    def _publish_raw(self) -> None:
+        # the fixture SQL names raw tables; another warehouse in the same
+        # session may have published other folders under those names since
+        for t, df in self._raw.items():
+            df.createOrReplaceTempView(t)
 
     def raw(self, name: str) -> DataFrame:
         if name not in RAW_TABLES:
@@ -53,9 +59,13 @@ class Warehouse:
         if base not in DOMAIN_SQL:
             raise KeyError(f"unknown table {name!r}")
         if base not in self._frames:
+            self._publish_raw()
             df = self.spark.sql(DOMAIN_SQL[base])
             if self.materialize:
-                df = _materialized(self.spark, self.sf_dir, base, df)
+                try:
+                    df = _materialized(self.spark, self.sf_dir, base, df)
+                except Exception:  # noqa: BLE001 - no file-system access: stay lazy
+                    pass
             self._frames[base] = df
         return self._frames[base]
 
@@ -72,11 +82,12 @@ def balanced(df: DataFrame) -> DataFrame:
     run every downstream broadcast join and projection in one task.  Large
     inputs already have many splits and are returned untouched (no shuffle).
     """
-    sc = df.sparkSession.sparkContext
-    parallelism = sc.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < parallelism:
-        return df.repartition(parallelism)
-    return df
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        splits = df._jdf.rdd().getNumPartitions()
+    except Exception:  # noqa: BLE001 - no JVM handle (remote session): leave as is
+        return df
+    return df.repartition(parallelism) if splits < parallelism else df
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
