@@ -68,3 +68,33 @@ def keys_seen(big: DataFrame, small_keys: DataFrame, key: str, broadcast: bool)
     """
     probe = big.select(key).join(bounded_like(small_keys.select(key), broadcast), key, "left_semi")
     return probe.distinct()
+
+
+# Output rows one join task should produce at most for one key.
+PRODUCT_ROWS_PER_TASK = 5_000_000
+
+
+def spread_product_join(left: DataFrame, right: DataFrame, key: str,
+                        rows_per_task: int = PRODUCT_ROWS_PER_TASK) -> DataFrame:
+    """Inner equi-join whose per-key output (n_left x n_right) may be huge.
+
+    A plain join emits all of one key's output from one task.  Here each
+    key's output size is computed from per-key row counts (two small
+    aggregates), the key's ``left`` rows are split by a hash of the row into
+    ``s = ceil(n_left * n_right / rows_per_task)`` buckets (at most
+    ``n_left``), and its ``right`` rows are repeated once per bucket.  A hot
+    key's output is then spread over ``s`` tasks of about ``rows_per_task``
+    rows each; ordinary keys get ``s = 1`` and cost one extra column.
+    """
+    lc = left.groupBy(key).agg(F.count(F.lit(1)).alias("__nl"))
+    rc = right.groupBy(key).agg(F.count(F.lit(1)).alias("__nr"))
+    salts = F.least(F.col("__nl"), F.ceil(F.col("__nl") * F.col("__nr") / F.lit(float(rows_per_task))))
+    sizes = lc.join(rc, key).select(key, F.greatest(F.lit(1), salts).cast("int").alias("__salts"))
+    lcols = [c for c in left.columns]
+    lsalted = (left.join(sizes, key)
+               .withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in lcols]), F.col("__salts")))
+               .drop("__salts"))
+    rsalted = (right.join(sizes, key)
+               .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
+               .drop("__salts"))
+    return lsalted.join(rsalted, [key, "__salt"]).drop("__salt")

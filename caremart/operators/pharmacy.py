@@ -9,8 +9,10 @@ member-level group *before* the join and the measures are multiplied after it:
     SUM(p.amt) over the product = sum_fills(group) * n_claims(member)
 
 The join then carries aggregated rows only, and a member holding a third of
-all claims costs one row on the claims side.  Sums are exact decimals, so the
-products equal the sums the product rows would give.
+all claims costs one row on the claims side.  Where the *result* itself is a
+per-member product (A24, A25: providers x fills), ``spread_product_join``
+splits a hot member's output over as many tasks as its size needs.  Sums are
+exact decimals, so the products equal the sums the product rows would give.
 
 Member ids are text that may be non-numeric; the join key is
 ``try_cast(member_id AS BIGINT)`` on both sides and rows without a numeric key
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import MONEY, safe_long
+from caremart.operators.joins import spread_product_join
 
 MK = "__member_key"
 
@@ -85,7 +88,7 @@ def pharmacy_provider_counts(claims: DataFrame, pharm: DataFrame, providers: Dat
     """A24 (J3): (member, drug, provider, fill date) -> pair count."""
     c = _claims_per_member_provider(claims, providers)
     p = _keyed(pharm).groupBy(MK, "drug_name", "fill_date").agg(F.count(F.lit(1)).alias("p_n"))
-    out = (c.join(p, MK, "inner")
+    out = (spread_product_join(c, p, MK)
            .select("member_id", "drug_name", "provider_id", "fill_date",
                    (F.col("c_n") * F.col("p_n")).alias("DrugCount")))
     if n:
@@ -101,7 +104,7 @@ def pharmacy_provider_payor_totals(claims: DataFrame, pharm: DataFrame, provider
     p = (_keyed(pharm).groupBy(MK, "drug_name", "fill_date")
          .agg(_dsum("billed_amount").alias("p_billed"), _dsum("paid_amount").alias("p_paid")))
     mult = F.col("c_n") * F.col("py_n")
-    out = (c.join(py, MK, "inner").join(p, MK, "inner")
+    out = (spread_product_join(c.join(py, MK, "inner"), p, MK)
            .select("member_id", "drug_name", "provider_id", "fill_date", "payor_type",
                    _money(F.col("p_billed") * mult).alias("total_billed"),
                    _money(F.col("p_paid") * mult).alias("total_paid")))

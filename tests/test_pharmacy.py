@@ -38,3 +38,15 @@ def test_top_k_ties_are_deterministic(spark):
     payor = spark.createDataFrame([("1", "A"), ("2", "B")], "member_id string, payor_type string")
     top = pharmacy.top_paid_by_payor(c, payor, n=2).collect()
     assert [r.claim_id for r in top] == ["c3", "c1"]
+
+
+@settings(max_examples=6, deadline=None)
+@given(left=st.lists(st.tuples(st.integers(1, 3), st.integers(0, 20)), max_size=25),
+       right=st.lists(st.tuples(st.integers(1, 4), st.integers(0, 20)), max_size=25),
+       per_task=st.sampled_from([1, 2, 7, 1000]))
+def test_spread_product_join_equals_plain_join(spark, left, right, per_task):
+    from caremart.operators.joins import spread_product_join
+    a = spark.createDataFrame(left, "k int, a int")
+    b = spark.createDataFrame(right, "k int, b int")
+    got = rows(spread_product_join(a, b, "k", rows_per_task=per_task).select("k", "a", "b"))
+    assert got == rows(a.join(b, "k").select("k", "a", "b"))
