@@ -79,22 +79,35 @@ def spread_product_join(left: DataFrame, right: DataFrame, key: str,
     """Inner equi-join whose per-key output (n_left x n_right) may be huge.
 
     A plain join emits all of one key's output from one task.  Here each
-    key's output size is computed from per-key row counts (two small
-    aggregates), the key's ``left`` rows are split by a hash of the row into
+    key's output size is computed from per-key row counts (two aggregates),
+    and the *hot* keys - those needing more than one task - are kept: there
+    are at most total output / ``rows_per_task`` of them, and the set is
+    measured before it is broadcast (``bounded_broadcast``).  A hot key's
+    ``left`` rows are split by a hash of the row into
     ``s = ceil(n_left * n_right / rows_per_task)`` buckets (at most
-    ``n_left``), and its ``right`` rows are repeated once per bucket.  A hot
-    key's output is then spread over ``s`` tasks of about ``rows_per_task``
-    rows each; ordinary keys get ``s = 1`` and cost one extra column.
+    ``n_left``) and its ``right`` rows are repeated once per bucket, so its
+    output is spread over ``s`` tasks of about ``rows_per_task`` rows.  Every
+    other key keeps one bucket; neither side is shuffled for the bucketing.
+
+    Both sides are checkpointed first (shared ``spark.checkpoint.dir``), so
+    the aggregates that usually feed this join are computed once and read
+    twice (sizes, join) instead of recomputed from the facts.
     """
+    from caremart.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(left.sparkSession)
+    left = left.checkpoint(eager=True)
+    right = right.checkpoint(eager=True)
     lc = left.groupBy(key).agg(F.count(F.lit(1)).alias("__nl"))
     rc = right.groupBy(key).agg(F.count(F.lit(1)).alias("__nr"))
     salts = F.least(F.col("__nl"), F.ceil(F.col("__nl") * F.col("__nr") / F.lit(float(rows_per_task))))
-    sizes = lc.join(rc, key).select(key, F.greatest(F.lit(1), salts).cast("int").alias("__salts"))
-    lcols = [c for c in left.columns]
-    lsalted = (left.join(sizes, key)
-               .withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in lcols]), F.col("__salts")))
+    hot = lc.join(rc, key).select(key, salts.cast("int").alias("__salts")).where(F.col("__salts") > 1)
+    hot, small = bounded_broadcast(hot)
+    buckets = F.coalesce(F.col("__salts"), F.lit(1))
+    lsalted = (left.join(hot, key, "left")
+               .withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), buckets))
                .drop("__salts"))
-    rsalted = (right.join(sizes, key)
-               .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
+    rsalted = (right.join(hot, key, "left")
+               .withColumn("__salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
                .drop("__salts"))
     return lsalted.join(rsalted, [key, "__salt"]).drop("__salt")
