@@ -75,19 +75,25 @@ class Warehouse:
             self.table(n).createOrReplaceTempView(n)
 
 
+# A scan with at least this many splits is left alone on any cluster.
+BALANCE_SPLITS = 64
+
+
 def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than cores.
+    """Spread a scan that has only a handful of splits.
 
     A small file with one parquet row group is a single split, which would
-    run every downstream broadcast join and projection in one task.  Large
-    inputs already have many splits and are returned untouched (no shuffle).
+    run every downstream broadcast join and projection in one task.  Such a
+    scan is round-robin repartitioned to min(cores, 64) partitions - a small
+    shuffle of a small input.  Inputs with enough splits (every large table)
+    are returned untouched, so no big table is ever reshuffled here.
     """
     try:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        target = min(df.sparkSession.sparkContext.defaultParallelism, BALANCE_SPLITS)
         splits = df._jdf.rdd().getNumPartitions()
     except Exception:  # noqa: BLE001 - no JVM handle (remote session): leave as is
         return df
-    return df.repartition(parallelism) if splits < parallelism else df
+    return df.repartition(target) if splits < target else df
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
