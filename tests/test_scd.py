@@ -94,6 +94,10 @@ def test_scd2_invariants(spark, batches):
                          ELIG)
         before = cur
         cur = scd.scd2_apply(cur, chg, as_of=f"2025-0{i + 1}-01")
+        latest = scd.latest_per_key(chg, "member_id", [F.col("eligibility_id")])
+        n_changed = scd.scd2_changes(before, latest).count()
+        n_new = latest.join(before.select("member_id"), "member_id", "left_anti").count()
+        assert cur.count() == before.count() + n_changed + n_new
         # closed rows never change
         closed_before = rows(before.where(~F.col("is_current_record")).drop("created_timestamp"))
         closed_after = set(rows(cur.where(~F.col("is_current_record")).drop("created_timestamp")))
