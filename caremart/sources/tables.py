@@ -210,8 +210,3 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([root, *parts])
-
-
-def literal_frame(spark: SparkSession, values: Sequence, name: str) -> DataFrame:
-    """A one-column frame of literal keys (for semi-joins against big lists)."""
-    return spark.createDataFrame([(v,) for v in values], [name]).select(F.col(name))
