@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caremart.sources.fixtures import ALIASES, DOMAIN_SOURCES, DOMAIN_SQL, FACT_SOURCES, RAW_TABLES
