@@ -158,3 +158,20 @@ def test_surrogate_key_dimension(spark):
                                   "claim_id string, provider_id string, claim_date date")
     keyed = rows(scd.assign_dim_key(facts, scd.scd2_apply_dim(dim, upd)), "claim_id", "provider_key")
     assert keyed == [("c1", 1), ("c2", 3), ("c3", None)]
+
+
+def test_several_changes_for_one_member_keep_the_latest(spark):
+    cur = scd.scd2_init(_base(spark))
+    chg = change_set(spark, [
+        (21, 111260497, "3/1/2024", "12/31/2024", "Suspended"),
+        (20, 111260497, "1/1/2024", "12/31/2024", "Terminated"),
+        (22, 555777888, "7/1/2024", "12/31/2024", "Active"),
+        (23, 555777888, "7/1/2024", "12/31/2025", "Active"),
+    ], ELIG)
+    out = scd.scd2_apply(cur, chg, as_of=AS_OF)
+    cur_rows = {r.member_id: r for r in out.where("is_current_record").collect()}
+    assert cur_rows[111260497].eligibility_status == "Suspended"
+    assert cur_rows[111260497].version_number == 2
+    # same start date: the larger id wins
+    assert cur_rows[555777888].eligibility_end_date == "12/31/2025"
+    assert out.where("member_id = 555777888").count() == 1
