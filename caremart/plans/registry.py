@@ -339,8 +339,15 @@ def _scd2_changes(spark, sf):
     latest = scd.latest_per_key(wh(spark, sf).eligibility_updates, "member_id",
                                 [parse_date("eligibility_start_date"), F.col("eligibility_id")])
     return scd.scd2_changes(_scd2_init(spark, sf), latest)
+def _scd2_stored(spark, sf):
+    """The applied SCD2 table as written and read back (downstream queries
+    read the stored table, as the eligibility notebook does)."""
+    return wh(spark, sf).stored(f"eligibility_scd2_{O.AS_OF}", lambda: _scd2(spark, sf))
+
+
 register("scd2_apply", O.SCD2_APPLY)(lambda spark, sf: _no_ts(_scd2(spark, sf)))
-register("change_summary", O.CHANGE_SUMMARY)(lambda spark, sf: scd.change_summary(_scd2(spark, sf)))
+register("change_summary", O.CHANGE_SUMMARY)(
+    lambda spark, sf: scd.change_summary(_scd2_stored(spark, sf)))
 
 
 def _providers_after(spark, sf):
@@ -383,7 +390,7 @@ def _assign_dim_key(spark, sf):
 register("duplicate_provider_ids", O.DUPLICATE_PROVIDER_IDS)(
     lambda spark, sf: quality.duplicate_keys(wh(spark, sf).providers, "provider_id"))
 register("duplicate_member_versions", O.DUPLICATE_MEMBER_VERSIONS)(
-    lambda spark, sf: quality.duplicate_keys(_scd2(spark, sf), "member_id"))
+    lambda spark, sf: quality.duplicate_keys(_scd2_stored(spark, sf), "member_id"))
 register("missing_required", O.MISSING_REQUIRED)(
     lambda spark, sf: quality.missing_required(
         wh(spark, sf).providers, ["name", "specialty", "practice_location", "provider_id"]))
@@ -391,7 +398,7 @@ register("pcp_distribution", O.PCP_DISTRIBUTION)(
     lambda spark, sf: quality.value_distribution(wh(spark, sf).providers, "is_pcp"))
 register("period_overlaps", O.PERIOD_OVERLAPS)(
     lambda spark, sf: _no_ts(quality.period_overlaps(
-        _scd2(spark, sf), "member_id", "record_start_date", "record_end_date", "eligibility_id",
+        _scd2_stored(spark, sf), "member_id", "record_start_date", "record_end_date", "eligibility_id",
         half_open=True)))
 
 

@@ -68,6 +68,19 @@ class Warehouse:
             self._frames[base] = df
         return self._frames[base]
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A table derived by ``build()`` and written once to the shared
+        folder (like a notebook's ``saveAsTable`` followed by a re-read)."""
+        key = f"derived:{name}"
+        if key not in self._frames:
+            df = build()
+            try:
+                df = _materialized(self.spark, self.sf_dir, name, df)
+            except Exception:  # noqa: BLE001 - no file-system access: stay lazy
+                pass
+            self._frames[key] = df
+        return self._frames[key]
+
     def register_views(self, names: Iterable[str] = tuple(DOMAIN_SQL) + tuple(ALIASES)) -> None:
         """Expose domain tables to ``spark.sql`` under the notebook names."""
         for n in names:
@@ -111,7 +124,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
-    path = shared_path(spark, "caremart-tables", _fingerprint(spark, sf_dir), name)
+    from caremart import __version__
+
+    path = shared_path(spark, "caremart-tables", f"{_fingerprint(spark, sf_dir)}-v{__version__}", name)
     p, fs = _hadoop_fs(spark, path)
     done = spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
     if not fs.exists(done):
