@@ -29,9 +29,9 @@ from caremart.operators.reports import (age_band_report, age_report, age_sex_rep
                                         service_trends, specialty_report, state_billed_report,
                                         state_report, status_distribution, type_state_summary,
                                         variance_report)
-from caremart.operators.scd import (affected_rows, assign_dim_key, change_summary, scd1_upsert,
-                                    scd2_apply, scd2_apply_dim, scd2_changes, scd2_init,
-                                    upsert_summary)
+from caremart.operators.scd import (affected_rows, assign_dim_key, change_summary, run_scd1,
+                                    run_scd2, scd1_upsert, scd2_apply, scd2_apply_dim,
+                                    scd2_changes, scd2_init, upsert_summary)
 from caremart.operators.snapshots import age_bands, paid_claims_snapshot
 from caremart.sources import (Warehouse, change_set, empty_table, load_or_init_scd2, preview,
                               register_view, table, write_path, write_table)

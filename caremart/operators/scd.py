@@ -284,3 +284,39 @@ def assign_dim_key(facts: DataFrame, dim: DataFrame, fact_key: str = "provider_i
             & (facts[fact_date] < d["__e"]))
     return (facts.join(d, cond, "left")
             .withColumnRenamed("__sk", surrogate_key).drop("__nk", "__s", "__e"))
+
+
+# -- whole runs over catalog tables ---------------------------------------------
+
+def run_scd2(spark, target: str, base: DataFrame, changes: DataFrame, as_of=None,
+             **apply_args) -> tuple[DataFrame, DataFrame]:
+    """One eligibility SCD2 run against the catalog table ``target``.
+
+    Reads ``target`` (or initialises it from ``base``), applies the change
+    batch, writes the next version over ``target`` (staged, since the plan
+    reads the table it replaces) and returns (stored table, change summary).
+    The write also cuts the lineage, so runs chain without growing plans.
+    """
+    from caremart.sources.tables import load_or_init_scd2, write_table
+
+    current = load_or_init_scd2(spark, target, base, scd2_init)
+    stored = write_table(scd2_apply(current, changes, as_of=as_of, **apply_args), target)
+    return stored, change_summary(stored)
+
+
+def run_scd1(spark, target: str, changes: DataFrame, key: str = "provider_id",
+             update_columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One provider SCD1 run against the catalog table ``target``.
+
+    Returns (stored table, upsert summary); the summary counts new keys
+    against the table as it was before the run.
+    """
+    import uuid
+
+    from caremart.sources.tables import shared_path, write_path, write_table
+
+    before = spark.table(target)
+    # freeze the pre-image so the summary is not computed from the rewritten table
+    pre = write_path(before, shared_path(spark, "caremart-preimage", f"{target}-{uuid.uuid4().hex[:8]}"))
+    stored = write_table(scd1_upsert(pre, changes, key, update_columns), target)
+    return stored, upsert_summary(pre, stored, changes, key)

@@ -34,3 +34,21 @@ def test_warehouse_tables_and_preview(spark, tmp_path):
     assert [r.claim_id for r in p] == sorted(r.claim_id for r in p)
     back = write_path(w.providers, str(tmp_path / "prov"))
     assert back.count() == w.providers.count()
+
+
+def test_whole_scd_runs_chain(spark):
+    from tests.test_scd import _changes
+    stored, summary = scd.run_scd2(spark, "cm_t_run_elig", _base(spark), _changes(spark),
+                                   as_of="2024-07-01")
+    assert stored.count() == 4 + 3 + 2
+    assert {r.change_reason: r["count"] for r in summary.collect()}["New Enrollment"] == 2
+    # a second run with the same batch adds nothing
+    again, _ = scd.run_scd2(spark, "cm_t_run_elig", _base(spark), _changes(spark), as_of="2024-08-01")
+    assert again.count() == 9
+    prov = spark.createDataFrame([("PR1", "a"), ("PR2", "b")], "provider_id string, name string")
+    write_table(prov, "cm_t_run_prov")
+    chg = spark.createDataFrame([("PR2", "b2"), ("PR3", "c")], "provider_id string, name string")
+    out, s = scd.run_scd1(spark, "cm_t_run_prov", chg)
+    assert rows(out) == [("PR1", "a"), ("PR2", "b2"), ("PR3", "c")]
+    first = s.first()
+    assert (first.total_after, first.new_records, first.updated_records) == (3, 1, 1)
