@@ -34,7 +34,11 @@ _WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
 def wh(spark: SparkSession, sf_dir: str) -> Warehouse:
     """One warehouse per (application, folder): its frames are lazy plans, so
     queries share the resolved tables instead of re-reading catalog metadata."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - remote session without a SparkContext
+        app = f"session-{id(spark)}"
+    key = (app, sf_dir.rstrip("/"))
     if key not in _WAREHOUSES:
         _WAREHOUSES[key] = Warehouse(spark, sf_dir)
     return _WAREHOUSES[key]
