@@ -6,6 +6,7 @@ folder; none runs on a subset or on made-up input.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ def register(name: str, oracle: str | None = None):
 
 
 _WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
+_WH_LOCK = threading.Lock()
 
 
 def wh(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -39,9 +41,10 @@ def wh(spark: SparkSession, sf_dir: str) -> Warehouse:
     except Exception:  # noqa: BLE001 - remote session without a SparkContext
         app = f"session-{id(spark)}"
     key = (app, sf_dir.rstrip("/"))
-    if key not in _WAREHOUSES:
-        _WAREHOUSES[key] = Warehouse(spark, sf_dir)
-    return _WAREHOUSES[key]
+    with _WH_LOCK:
+        if key not in _WAREHOUSES:
+            _WAREHOUSES[key] = Warehouse(spark, sf_dir)
+        return _WAREHOUSES[key]
 
 
 def enriched(spark: SparkSession, sf_dir: str, profile: str = "lenient") -> DataFrame:

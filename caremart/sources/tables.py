@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -32,6 +33,7 @@ class Warehouse:
         self.sf_dir = sf_dir.rstrip("/")
         self.materialize = materialize
         self._frames: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()  # one materialisation per table, even across threads
         self._raw = {t: self.raw(t) for t in DOMAIN_SOURCES}
         self._publish_raw()
 
@@ -57,29 +59,31 @@ class Warehouse:
         base = ALIASES.get(_bare(name), _bare(name))
         if base not in DOMAIN_SQL:
             raise KeyError(f"unknown table {name!r}")
-        if base not in self._frames:
-            self._publish_raw()
-            df = self.spark.sql(DOMAIN_SQL[base])
-            if self.materialize:
-                try:
-                    df = _materialized(self.spark, self.sf_dir, base, df)
-                except Exception:  # noqa: BLE001 - no file-system access: stay lazy
-                    pass
-            self._frames[base] = df
-        return self._frames[base]
+        with self._lock:
+            if base not in self._frames:
+                self._publish_raw()
+                df = self.spark.sql(DOMAIN_SQL[base])
+                if self.materialize:
+                    try:
+                        df = _materialized(self.spark, self.sf_dir, base, df)
+                    except Exception:  # noqa: BLE001 - no file-system access: stay lazy
+                        pass
+                self._frames[base] = df
+            return self._frames[base]
 
     def stored(self, name: str, build) -> DataFrame:
         """A table derived by ``build()`` and written once to the shared
         folder (like a notebook's ``saveAsTable`` followed by a re-read)."""
         key = f"derived:{name}"
-        if key not in self._frames:
-            df = build()
-            try:
-                df = _materialized(self.spark, self.sf_dir, name, df)
-            except Exception:  # noqa: BLE001 - no file-system access: stay lazy
-                pass
-            self._frames[key] = df
-        return self._frames[key]
+        with self._lock:
+            if key not in self._frames:
+                df = build()
+                try:
+                    df = _materialized(self.spark, self.sf_dir, name, df)
+                except Exception:  # noqa: BLE001 - no file-system access: stay lazy
+                    pass
+                self._frames[key] = df
+            return self._frames[key]
 
     def register_views(self, names: Iterable[str] = tuple(DOMAIN_SQL) + tuple(ALIASES)) -> None:
         """Expose domain tables to ``spark.sql`` under the notebook names."""
