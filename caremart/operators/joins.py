@@ -8,9 +8,10 @@ shuffling the whole stored dimension to apply a small batch of changes.
 
 ``bounded_broadcast`` measures instead of guessing: the frame is checkpointed
 into the shared ``spark.checkpoint.dir`` (reliable files, lineage cut), its
-rows are counted, and it is marked for broadcast only if rows x row width fits
-the threshold.  Otherwise it is returned as is and the join stays a shuffle
-join (with AQE's skew splitting).
+in-memory bytes are measured from the data (``measured_bytes``: real string
+lengths, fixed widths, row overhead), and it is marked for broadcast only if
+that fits the threshold.  Otherwise it is returned as is and the join stays a
+shuffle join (with AQE's skew splitting).
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ def _threshold(df: DataFrame) -> int:
 def bounded_broadcast(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
     """Materialise ``df`` and broadcast it if its measured size is small.
 
-    Returns (frame, broadcast?).  The size bound is rows x the schema's fixed
-    row width (strings at Spark's default estimate); a negative threshold
-    (broadcast disabled) never broadcasts.
+    Returns (frame, broadcast?).  The size is measured from the data
+    (``measured_bytes``); a negative threshold (broadcast disabled) never
+    broadcasts.
     """
     from caremart.session import ensure_checkpoint_dir
 
@@ -46,13 +47,33 @@ def bounded_broadcast(df: DataFrame, max_bytes: int | None = None) -> tuple[Data
     frozen = df.checkpoint(eager=True)
     if limit < 0:
         return frozen, False
-    width = max(int(frozen._jdf.schema().defaultSize()), 1)
-    rows = frozen.count()
-    if rows * width <= limit:
+    size = measured_bytes(frozen)
+    if size <= limit:
         return F.broadcast(frozen), True
     return frozen, False
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """In-memory size of ``df`` from its data, in one aggregation.
+
+    Strings and binaries count at their real byte length, other columns at
+    their fixed width, plus 8 bytes per field per row (row format overhead);
+    nested columns count at Spark's default estimate.
+    """
+    variable = [f.name for f in df.schema.fields
+                if f.dataType.typeName() in ("string", "binary")]
+    fixed = 0
+    for f in df._jdf.schema().fields():
+        if f.dataType().typeName() not in ("string", "binary"):
+            fixed += int(f.dataType().defaultSize())
+    per_row = fixed + 8 * len(df.schema.fields)
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs += [F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).alias(f"__v{i}")
+             for i, c in enumerate(variable)]
+    row = df.agg(*aggs).first()
+    return int(row["__n"]) * per_row + sum(int(row[f"__v{i}"]) for i in range(len(variable)))
+
+
 def bounded_like(df: DataFrame, broadcast: bool) -> DataFrame:
     """Broadcast ``df`` when it is derived from (and no larger than) a frame
     that ``bounded_broadcast`` already measured and broadcast."""

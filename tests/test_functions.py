@@ -71,3 +71,14 @@ def test_filters_and_rewrites(spark):
     assert rows(rewrite_by_key(df, "k", "s", {"b": "q"}), "s") == [("q",), ("x",), (None,)]
     upd = update_where(df, F.col("v") > 4, {"s": "big", "v": 0})
     assert rows(upd) == [("a", 1, "x"), ("b", 0, "big"), ("c", 0, "big")]
+
+
+def test_bounded_broadcast_measures_real_bytes(spark):
+    from caremart.operators.joins import bounded_broadcast, measured_bytes
+    small = spark.range(100).withColumn("s", F.lit("x"))
+    assert bounded_broadcast(small)[1] is True
+    # 2,000 rows of 10 kB text: ~20 MB although the schema estimate is ~56 kB
+    big = spark.range(2000).withColumn("s", F.repeat(F.lit("y"), 10000))
+    assert measured_bytes(big) > 20_000_000
+    frame, broadcast = bounded_broadcast(big)
+    assert broadcast is False and frame.count() == 2000
