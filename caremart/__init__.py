@@ -26,7 +26,7 @@ from caremart.operators.reports import (age_band_report, age_report, age_sex_rep
                                         facility_report, gender_report, location_report,
                                         member_utilization, network_report, provider_report,
                                         race_report, readmission_report, record_count,
-                                        service_trends, specialty_report, state_billed_report,
+                                        report_suite, service_trends, specialty_report, state_billed_report,
                                         state_report, status_distribution, type_state_summary,
                                         variance_report)
 from caremart.operators.scd import (affected_rows, assign_dim_key, change_summary, run_scd1,

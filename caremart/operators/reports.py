@@ -289,3 +289,37 @@ def specialty_report(providers: DataFrame) -> DataFrame:
                  F.count(F.when(F.col("is_pcp") == 1, 1)).alias("pcp_count"),
                  F.countDistinct("practice_location").alias("locations"))
             .orderBy(F.col("provider_count").desc(), F.col("specialty")))
+
+
+def report_suite(claims: DataFrame, profile: str = "lenient", path: str | None = None,
+                 top_facilities: int | None = 10, top_cpt: int | None = 15) -> dict[str, DataFrame]:
+    """All enriched-claims reports (A2-A16) over one enrichment.
+
+    With ``path`` (a folder in the shared file system) the enriched, typed
+    claims are written once and every report scans that table: dates are
+    parsed once instead of once per report, and typed dates prune at the
+    scan.  Without it the reports share the lazy enrichment plan.
+    """
+    from caremart.operators.enrich import enhance_claims
+    from caremart.sources.tables import write_path
+
+    e = enhance_claims(claims, profile)
+    if path:
+        e = write_path(e, path)
+    return {
+        "provider_report": provider_report(e),
+        "member_utilization": member_utilization(e),
+        "service_trends": service_trends(e),
+        "age_report": age_report(e),
+        "facility_report": facility_report(e, top_facilities),
+        "network_report": network_report(e),
+        "gender_report": gender_report(e),
+        "race_report": race_report(e),
+        "state_report": state_report(e),
+        "readmission_report": readmission_report(e),
+        "denial_report": denial_report(e),
+        "variance_report": variance_report(e),
+        "cpt_report": cpt_report(e, top_cpt),
+        "record_count": record_count(e),
+        "completeness_report": completeness_report(e),
+    }

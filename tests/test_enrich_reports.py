@@ -67,3 +67,13 @@ def test_reports_on_tiny_claims(spark):
         "practice_location string, specialty string, is_pcp int")).collect()
     got = {r.practice_location: (r.provider_count, r.pcp_count, r.specialties) for r in loc}
     assert got == {"A": (3, 2, ["x", "x", "y"]), "B": (1, 0, ["z"])}
+
+
+def test_report_suite_matches_registered_reports(spark, tmp_path):
+    from __spark_entry__ import queries
+    from caremart.plans.registry import wh
+    from tests.conftest import SF_SMALL, rows
+    suite = reports.report_suite(wh(spark, SF_SMALL).claims, path=str(tmp_path / "enriched"))
+    qs = queries()
+    for name, df in suite.items():
+        assert rows(df) == rows(qs[name](spark, SF_SMALL)), name
