@@ -19,3 +19,21 @@ def test_change_stream_builds_versions(spark):
     out = latest_version(spark, target)
     assert out is not None and out.count() == 4 + 1 + 1
     assert out.where("is_current_record").count() == 5
+
+
+def test_change_stream_scd1(spark):
+    from tests.test_scd import PROV
+    root = tempfile.mkdtemp(prefix="caremart-stream1-")
+    feed, target, ckpt = (os.path.join(root, d) for d in ("feed", "table", "ckpt"))
+    initial = spark.createDataFrame([(2001, "A", "Card", "Old", 1, "PR1", 1, 1),
+                                     (2002, "B", "Peds", "East", 0, "PR2", 2, 2)], PROV)
+    spark.createDataFrame([(2001, "A2", "Card", "New", 1, "PR1", 1, 1),
+                           (2003, "C", "Ortho", "West", 0, "PR3", 3, 3)], PROV) \
+        .write.parquet(os.path.join(feed, "part1"))
+    stream = spark.readStream.schema(PROV).parquet(os.path.join(feed, "*"))
+    q = apply_change_stream(stream, target, initial, ckpt, mode="scd1", key="provider_id",
+                            update_columns=["name", "practice_location"])
+    q.awaitTermination(120)
+    out = {r.provider_id: r for r in latest_version(spark, target).collect()}
+    assert set(out) == {"PR1", "PR2", "PR3"}
+    assert out["PR1"].name == "A2" and out["PR1"].practice_location == "New"
