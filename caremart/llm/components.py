@@ -16,7 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     sum stays.  Every round is a stored table.  Nothing but that sum reaches the driver.
     Loops, repeated and null-ended edges are fine; no edges give no rows.
     """
-    plain = edges.select("a", "b").dropna()
+    plain = cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+                .filter("low < high").distinct(), "edges")
+    # hang every node and its other smaller neighbours on its smallest one: the components stay, and
+    # the many edges that different stars give the same few nodes become one
+    lowest = plain.groupBy("high").agg(F.min("low").alias("m"))
+    stars = lowest.select(F.col("m").alias("a"), F.col("high").alias("b")).union(
+        plain.join(lowest, "high").filter("low > m").select("m", "low")).distinct()
+    plain = cut(stars, "stars")
     both = cut(plain.union(plain.select("b", "a")).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                  .select("node", F.least("node", "m").alias("component")), "labels")
