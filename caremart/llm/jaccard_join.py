@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caremart.llm.common import cut
+from caremart.llm.common import cut, slices
 from caremart.llm.components import components
 from caremart.llm.shingles import mix, shingle_set
 
@@ -102,7 +102,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, node (hash of the shingle set), sign (its signature), n_bytes of each document with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, nodes, signs, length = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(t, size)
@@ -239,7 +239,12 @@ def candidate_edges(classes: DataFrame, similarity: float, recall: float, start:
     # groups that no split parts: blocks first, another division for every path
     n_blocks = F.ceil(F.col("n") / bucket).cast("int")
     piece = F.pmod(F.xxhash64("path", "node"), n_blocks).cast("int")
-    found.append(_candidates(large.withColumn("piece", piece).withColumn("block", F.lit(0)), ["path", "piece"], least))
+    # the bucket's smallest set joins every block: blocks hang together by it, and the same edges
+    # come out of every path
+    lowest = (large.groupBy("path").agg(F.min(F.struct("node", "sign")).alias("low"), F.max(n_blocks).alias("k"))
+              .select("path", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("piece"), "low.node", "low.sign"))
+    pieces = large.select("path", piece.alias("piece"), "node", "sign").union(lowest)
+    found.append(_candidates(pieces.withColumn("block", F.lit(0)), ["path", "piece"], least))
     edges = cut(_union(found), "edges")
     known = components(edges)
     named = large.select("path", "node", "n", "sign").join(known, "node", "left")
