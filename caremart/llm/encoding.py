@@ -9,11 +9,14 @@ to the tokenizers library once, so the library sees a text's new words only.
 from __future__ import annotations
 
 import os
+from array import array
+from itertools import repeat
 
 import numpy as np
 
-MAX_CACHED = 300_000  # chunks kept per worker; beyond it the cache starts anew
-SPLIT_CHARS = 4_000_000  # texts are encoded in runs of about so many characters
+MAX_CACHED = 300_000  # chunks kept per worker; beyond it the less used half goes
+SPLIT_CHARS = 1_000_000  # texts are encoded in runs of about so many characters
+WORD_END = "</w>"  # closes the last token of every piece in a vocabulary with word ends
 # Signs that the pre-tokenizer always parts from a preceding ASCII letter.
 TAIL = ".,;:!?*%#$&\"()-"
 
@@ -33,29 +36,35 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.max_cached = max_cached
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.start = np.zeros(1024, np.int64)
-        self.size = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _append(self, chunk: str, ids: np.ndarray) -> None:
-        n = len(self.index)
-        if n == len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.index[chunk] = n
-
-    def _ids(self, chunk: str) -> np.ndarray:
+        self.start, self.size = array("q", [0]), array("q", [0])  # of each chunk's ids in flat
+        self.flat = array("I", [0])
+        self.uses = np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks used most, half of what the cache may hold."""
+        self.uses.resize(len(self.index))
+        least = np.partition(self.uses, -(self.max_cached // 2))[-(self.max_cached // 2)] if self.max_cached > 1 else 0
+        kept = [(c, self._ids(c), int(self.uses[i]) // 2) for c, i in self.index.items() if c and self.uses[i] > least]
+        self._reset()
+        for c, ids, _ in kept:
+            self._append(c, ids)
+        self.uses = np.array([0, *(n for *_, n in kept)], np.int64)
+
+    def _append(self, chunk: str, ids) -> None:
+        self.index[chunk] = len(self.index)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+
+    def _ids(self, chunk: str) -> array:
         i = self.index[chunk]
         return self.flat[self.start[i]:self.start[i] + self.size[i]]
 
@@ -70,17 +79,38 @@ class ChunkEncoder:
                 pieces[stem] = pieces[c[len(stem):]] = None
             else:
                 pieces[c] = None
-        new = [p for p in pieces if p not in self.index]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._append(p, np.asarray(e.ids, np.uint32))
+        words, others = [], []
+        for p in pieces:
+            if p not in self.index:
+                if p.isascii() and p.isalpha() and p.islower():
+                    # one piece that neither normalizing nor the byte alphabet changes
+                    self._append(p, [t.id for t in self.tokenizer.model.tokenize(p)])
+                else:
+                    (words if p.isalpha() else others).append(p)
+        others += self._learn_words(words)
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self._append(p, e.ids)
         for c, (stem, tail) in parted.items():
             if c not in self.index:
-                self._append(c, np.concatenate([self._ids(stem), self._ids(tail)]))
+                self._append(c, self._ids(stem) + self._ids(tail))
+
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Encode words of letters as one text, parted where a piece ends; returns them if some
+        word was more than one piece, so that the ends don't tell the words apart."""
+        if not words:
+            return []
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self.closes[np.array(ids, np.int64)]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return words
+        for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            self._append(w, ids[a:b])
+        return []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each."""
         if len(self.index) > self.max_cached:
-            self._reset()
+            self._forget()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         whole: dict[int, np.ndarray] = {}  # texts that may hold a special token's name
@@ -92,13 +122,19 @@ class ChunkEncoder:
                 own = (t.lower() if t.isascii() else t).replace("\n", " ").split(" ")
             words += own
             counts[i] = len(own)
-        missing = set(words).difference(self.index)
-        if missing:
-            self._learn(missing)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            self._learn(set(unknown))
+            at[missing] = [self.index[w] for w in unknown]
+        uses = np.bincount(at, minlength=len(self.index))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
+        size = np.frombuffer(self.size, np.int64)[at]
         before = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.start[at] - before, size) + np.arange(int(size.sum()))]
+        start = np.frombuffer(self.start, np.int64)[at]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(start - before, size) + np.arange(int(size.sum()))]
         lengths = np.add.reduceat(size, np.cumsum(counts) - counts) if len(texts) else counts
         if whole:
             ends = np.cumsum(lengths)

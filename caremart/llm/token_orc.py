@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caremart.llm import encoding
+from caremart.llm.common import slices
 
 STRIPE_BYTES = 16 << 20  # several stripes a file, read in parallel
 INDEX_STRIDE = 1_000  # rows between row-index entries
@@ -41,7 +42,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer_path)
         part, before = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             for i, j in encoding.runs(texts):
                 ids, n = encoding.with_end(*enc.encode(texts[i:j]), end_id)
