@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caremart.llm import encoding
-from caremart.llm.common import cut
+from caremart.llm.common import cut, slices
 
 BLOCK_TOKENS = 1 << 20
 SEPARATOR = 0xFFFF  # above every id of the vocabularies that fit 16 bits
@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, separator: int = SEPA
         where, folder = fs.FileSystem.from_uri(path)
         name = f"{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.bin"
         sink, ordinal = None, 0
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in encoding.runs(texts):
                 ids, n = enc.encode(texts[i:j])
@@ -117,4 +117,5 @@ def token_counts(manifest: DataFrame, path: str, separator: int = SEPARATOR,
                  block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, file, start, n_tokens of every document of a manifest."""
     counted = scan(manifest, path, separator, block_tokens).filter("closed")
-    return manifest.join(counted, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
+    # both sides grow with the documents, and the stored manifest is far smaller than its rows
+    return manifest.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
