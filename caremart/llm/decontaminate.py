@@ -29,11 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caremart.llm.common import slices
 from caremart.llm.shingles import words
 
 WINDOW = 13
 PART_WORDS = 1_000_000  # benchmark words searched (and broadcast) at a time
-SHARD_WORDS = 2_000_000  # words of a shard, at least one document
+SHARD_WORDS = 500_000  # words of a shard, at least one document
 SAMPLE = 8  # every so many positions of a run are sampled for locating
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -274,7 +275,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
             held: list[pa.RecordBatch] = []
             docs: list[np.ndarray] = []
             n = 0
-            for b in batches:
+            for b in slices(batches):
                 for t in b.column(1).to_pylist():
                     own = words(t)
                     docs.append(np.fromiter((number.get(w, 0) for w in own), np.int64, len(own)))

@@ -8,7 +8,7 @@ import xxhash
 # ASCII letters are lower-cased; ASCII signs and controls part words; all else is kept.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
-MAX_CACHED = 500_000  # word hashes kept per worker
+MAX_CACHED = 200_000  # word hashes kept per worker
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caremart.llm.common import md5_long
+from caremart.llm.common import md5_long, slices
 
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000  # bound of the sample of labelled rows
 MAX_TERMS = 4_096  # bound of the vocabulary, most telling first
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
               .join(F.broadcast(small), "doc_id").select("doc_id", "toxic", "text"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for label, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 counts[label].update({t for w in set(words(text)) for t in terms(w)})
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = Counter(), 0
-        for b in batches:
+        for b in slices(batches):
             rows += b.num_rows
             for text in b.column(0).to_pylist():
                 counts.update(vocabulary.count(text).keys())
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(telling))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts = [vocabulary.count(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([list(c.keys()) for c in counts], pa.list_(pa.int32())),
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int64())]))
-        for b in batches:
+        for b in slices(batches):
             found = [m.score(t) for t in b.column(1).to_pylist()]
             chance = np.array([s for s, _ in found])
             voters = [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in v] for _, v in found]
