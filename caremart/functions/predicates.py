@@ -81,14 +81,16 @@ def filter_keys(df: DataFrame, key: str, values, keep: bool = True) -> DataFrame
 
     ``values`` may be a literal list (IN, pushed to the scan) or a frame with a
     ``key`` column (semi/anti join, so the key set never visits the driver).
+    Null keys in ``values`` match nothing, at any length and in either form;
+    rows with a null key are therefore dropped by ``keep`` and kept without.
     """
     if isinstance(values, DataFrame):
         keys = values.select(F.col(key)).where(F.col(key).isNotNull())
         return df.join(keys, on=key, how="left_semi" if keep else "left_anti")
-    values = list(values)
+    values = [v for v in values if v is not None]
     if len(values) > INLINE_KEYS_MAX:
-        keys = df.sparkSession.createDataFrame([(v,) for v in values], [key])
-        return filter_keys(df, key, keys, keep)
+        keys = df.sparkSession.createDataFrame([(v,) for v in values], ["key"])
+        return filter_keys(df, key, keys.select(F.col("key").cast(df.schema[key].dataType).alias(key)), keep)
     cond = F.col(key).isin(*values)
     return df.filter(cond if keep else ~cond | F.col(key).isNull())
 
@@ -101,8 +103,8 @@ def rewrite_by_key(df: DataFrame, key: str, column: str, mapping) -> DataFrame:
     to null is rewritten to null instead of falling back to the old value.
     """
     if isinstance(mapping, DataFrame):
-        m = (mapping.select(F.col(key), F.col(column).alias("__new"))
-             .withColumn("__hit", F.lit(True)))
+        # a key mapped several times takes its greatest value, so rows never multiply
+        m = mapping.groupBy(key).agg(F.max(column).alias("__new")).withColumn("__hit", F.lit(True))
         out = df.join(m, on=key, how="left")
         return out.withColumn(column, F.when(F.col("__hit"), F.col("__new"))
                               .otherwise(F.col(column))).drop("__new", "__hit").select(*df.columns)

@@ -91,7 +91,7 @@ def pharmacy_provider_counts(claims: DataFrame, pharm: DataFrame, providers: Dat
     out = (spread_product_join(c, p, MK)
            .select("member_id", "drug_name", "provider_id", "fill_date",
                    (F.col("c_n") * F.col("p_n")).alias("DrugCount")))
-    if n:
+    if n is not None:
         out = out.orderBy("member_id", "drug_name", "provider_id", "fill_date").limit(n)
     return out
 
@@ -108,7 +108,7 @@ def pharmacy_provider_payor_totals(claims: DataFrame, pharm: DataFrame, provider
            .select("member_id", "drug_name", "provider_id", "fill_date", "payor_type",
                    _money(F.col("p_billed") * mult).alias("total_billed"),
                    _money(F.col("p_paid") * mult).alias("total_paid")))
-    if n:
+    if n is not None:
         out = out.orderBy("member_id", "drug_name", "provider_id", "fill_date", "payor_type").limit(n)
     return out
 

@@ -118,6 +118,8 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
       is added with a status-based reason.  Closed history is never touched.
     * Keys the table has never seen are added as version 1, ``New Enrollment``.
     * Keys in the batch that did not change keep their rows as they are.
+    * Change rows with a null key are left out; a key with several current rows
+      gets all of them closed and one new version.
     * ``start_policy="source"`` starts a new version at the change row's own
       start date (periods of one member may then overlap, as in the source
       notebooks); ``"as_of"`` starts it at ``as_of`` (no overlap).
@@ -127,9 +129,10 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
     as_of_date = to_date_value(as_of) if as_of is not None else _dt.date.today()
     base_cols = list(changes.columns)
     order = [parse_date(start_col)] + ([F.col(id_col)] if id_col else [])
-    chg, small = bounded_broadcast(latest_per_key(changes, key, order))
+    chg, small = bounded_broadcast(latest_per_key(changes.where(F.col(key).isNotNull()), key, order))
 
-    changed = scd2_changes(current, chg, key, tracked)
+    # one row per key, even where a key has several current rows
+    changed = scd2_changes(current, chg, key, tracked).dropDuplicates([key])
     changed_keys = bounded_like(changed.select(F.col(key), F.lit(True).alias("__changed")), small)
 
     # close the current row of each changed key; every other row is kept as is
@@ -187,7 +190,8 @@ def scd1_upsert(current: DataFrame, changes: DataFrame, key: str = "provider_id"
     value - a null included, via a match marker rather than ``coalesce`` -
     and the others keep the stored value.
     """
-    chg, small = bounded_broadcast(changes)
+    # one row per key (the greatest by its values); a null key names no row and is left out
+    chg, small = bounded_broadcast(latest_per_key(changes.where(F.col(key).isNotNull()), key, []))
     if update_columns is None:
         kept = current.join(chg.select(key), key, "left_anti")
         return kept.unionByName(chg.select(*current.columns))

@@ -7,6 +7,7 @@ takes DataFrames.  These helpers are for scripts, tests and the benchmark.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,7 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return active.get()
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # unset: local run or test only
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # unset on a local master: a fresh folder of its own
         current = tempfile.mkdtemp(prefix="caremart-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(current)
     return sc._jsc.sc().getCheckpointDir().get()

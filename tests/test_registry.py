@@ -30,7 +30,7 @@ def _norm(v):
 
 
 def _bag(cols, data):
-    order = sorted(range(len(cols)), key=lambda i: cols[i].lower())
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
     return Counter(tuple(_norm(r[i]) for i in order) for r in data)
 
 
@@ -49,19 +49,19 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    from __spark_entry__ import oracle_sql, queries
+    from caremart.plans.registry import oracle_sql, queries
     assert set(queries()) == set(oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="test data not present")
 def test_queries_match_oracle(spark, duck):
-    from __spark_entry__ import oracle_sql, queries
+    from caremart.plans.registry import oracle_sql, queries
     bad = []
     for name, fn in queries().items():
         df = fn(spark, SF_SMALL)
         got = _bag(df.columns, [tuple(r) for r in df.collect()])
         cur = duck.execute(oracle_sql()[name])
         want = _bag([d[0] for d in cur.description], cur.fetchall())
-        if got != want or sorted(c.lower() for c in df.columns) != sorted(d[0].lower() for d in cur.description):
+        if got != want or sorted(df.columns) != sorted(d[0] for d in cur.description):
             bad.append(name)
     assert bad == []
