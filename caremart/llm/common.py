@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from caremart.session import ensure_checkpoint_dir
 
 SLICE_ROWS = 256
+BROADCAST_ROWS = 1_000_000  # ids or keys (8 to 40 bytes each) that may be broadcast; more are joined
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def near_join(small: DataFrame) -> DataFrame:
+    """A stored frame of ids, to be broadcast if its counted rows allow it, else left to a shuffle join."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in small pieces without copying, so that few texts are Python objects at a time."""
     for b in batches:

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caremart.llm.common import cut, slices
+from caremart.llm.common import cut, near_join, slices
 from caremart.llm.components import components
 from caremart.llm.shingles import mix, shingle_set
 
@@ -48,7 +48,6 @@ START_DEPTH, MAX_DEPTH = 2, 5
 BUCKET = 256  # sets compared by brute force; also the block of larger buckets
 SCREEN = 0.2  # pairs whose signatures agree in threshold - SCREEN are candidates (4 deviations)
 TILE_BYTES, TILE_ROWS = 2 << 20, 1024  # text and rows of a block of the exact comparison
-BROADCAST_ROWS = 1_000_000  # ids (8 to 24 bytes each) that may be broadcast; more are joined
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -322,11 +321,6 @@ def _links(rows: DataFrame, similarity: float, size: int) -> DataFrame:
             .repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, kind))
 
 
-def near_join(small: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Broadcast a frame of ids if its counted rows allow it, else leave it to a shuffle join."""
-    return F.broadcast if small.count() <= BROADCAST_ROWS else (lambda x: x)
-
-
 def link(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, recall: float = RECALL,
          start: int = START_DEPTH, deepest: int = MAX_DEPTH, bucket: int = BUCKET,
          screen: float = SCREEN, tile_bytes: int = TILE_BYTES, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -341,7 +335,7 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE, reca
     wanted = cut(groups.join(size_of, "component").join(classes.select("node", "doc_id", "n_same"), "node")
                  .select(F.col("component").alias("group"), "node", "doc_id", "n_same", blocks.alias("n_blocks")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(_links(_tiles(texts.join(near_join(wanted)(wanted), "doc_id"), "group", "node", "n_blocks"), similarity, size), "links")
+    found = cut(_links(_tiles(texts.join(near_join(wanted), "doc_id"), "group", "node", "n_blocks"), similarity, size), "links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     linked = components(found.filter("b IS NOT NULL"))
     named = linked.join(classes.select("node", "doc_id"), "node")
@@ -370,8 +364,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
                                            F.count("*").alias("rows"))
     gone = cut(per_id.filter("names = 0").select("doc_id"), "gone")
     again = cut(per_id.filter("names = 1 AND rows > 1").select("doc_id"), "again")
-    kept = docs.join(near_join(gone)(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(near_join(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if again.isEmpty():
         return kept
-    twice = kept.join(near_join(again)(again), "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(near_join(again)(again), "doc_id", "left_anti").select(*kept.columns).union(twice)
+    twice = kept.join(near_join(again), "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(near_join(again), "doc_id", "left_anti").select(*kept.columns).union(twice)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caremart.llm.common import cut, slices
+from caremart.llm.common import cut, near_join, slices
 
 SITES = 8  # distinct sites from which on a line is boilerplate
 SKETCH_BITS = 12  # standard error of about 1.6 %
@@ -43,13 +43,13 @@ def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, margi
         return cut(rows.select("key").distinct(), "boilerplate")
     spread = cut(rows.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b"))
                  .filter("a < b").select("key"), "spread")
-    wide = rows.join(spread, "key", "left_semi")
+    wide = rows.join(near_join(spread), "key", "left_semi")
     sketched = cut(wide.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(sketch_bits)).alias("sketch"))
                    .select("key", F.hll_sketch_estimate("sketch").alias("estimate")), "sketched")
     low, high = sites * (1 - margin) - 1, sites * (1 + margin) + 1
     sure = sketched.filter(F.col("estimate") > high).select("key")
     near = sketched.filter((F.col("estimate") <= high) & (F.col("estimate") >= low)).select("key")
-    exact = (rows.join(near, "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("n"))
+    exact = (rows.join(near_join(near), "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("n"))
              .filter(F.col("n") >= sites).select("key"))
     return cut(sure.union(exact), "boilerplate")
 
