@@ -17,9 +17,10 @@ NULL_SENTINELS = ("NULL", "")
 ISO_DATE = "yyyy-MM-dd"
 US_DATE = "M/d/yyyy"
 
-# Money is summed as decimal(18,4) (amounts carry at most four decimals), so
-# totals are exact and do not depend on how rows are split over tasks.
-MONEY = "decimal(18,4)"
+# Money is summed as a decimal of eight places, so totals are exact and do not
+# depend on how rows are split over tasks.  A ninth decimal place would be
+# rounded; an amount of 1e20 or more raises an error.
+MONEY = "decimal(28,8)"
 
 
 def _c(c: str | Column) -> Column:

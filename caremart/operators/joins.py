@@ -16,7 +16,7 @@ shuffle join (with AQE's skew splitting).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT = 10 * 1024 * 1024
@@ -103,10 +103,10 @@ def spread_product_join(left: DataFrame, right: DataFrame, key: str,
     key's output size is computed from per-key row counts (two aggregates),
     and the *hot* keys - those needing more than one task - are kept: there
     are at most total output / ``rows_per_task`` of them, and the set is
-    measured before it is broadcast (``bounded_broadcast``).  A hot key's
-    ``left`` rows are split by a hash of the row into
-    ``s = ceil(n_left * n_right / rows_per_task)`` buckets (at most
-    ``n_left``) and its ``right`` rows are repeated once per bucket, so its
+    measured before it is broadcast (``bounded_broadcast``).  The rows of a
+    hot key's larger side are split by a hash of the row into
+    ``s = ceil(n_left * n_right / rows_per_task)`` buckets (at most its rows)
+    and the smaller side's rows are repeated once per bucket, so its
     output is spread over ``s`` tasks of about ``rows_per_task`` rows.  Every
     other key keeps one bucket; neither side is shuffled for the bucketing.
 
@@ -121,14 +121,18 @@ def spread_product_join(left: DataFrame, right: DataFrame, key: str,
     right = right.checkpoint(eager=True)
     lc = left.groupBy(key).agg(F.count(F.lit(1)).alias("__nl"))
     rc = right.groupBy(key).agg(F.count(F.lit(1)).alias("__nr"))
-    salts = F.least(F.col("__nl"), F.ceil(F.col("__nl") * F.col("__nr") / F.lit(float(rows_per_task))))
-    hot = lc.join(rc, key).select(key, salts.cast("int").alias("__salts")).where(F.col("__salts") > 1)
+    salts = F.least(F.greatest("__nl", "__nr"),
+                    F.ceil(F.col("__nl") * F.col("__nr") / F.lit(float(rows_per_task))))
+    hot = (lc.join(rc, key).select(key, salts.cast("int").alias("__salts"),
+                                   (F.col("__nl") >= F.col("__nr")).alias("__split_left"))
+           .where(F.col("__salts") > 1))
     hot, small = bounded_broadcast(hot)
-    buckets = F.coalesce(F.col("__salts"), F.lit(1))
-    lsalted = (left.join(hot, key, "left")
-               .withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), buckets))
-               .drop("__salts"))
-    rsalted = (right.join(hot, key, "left")
-               .withColumn("__salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
-               .drop("__salts"))
-    return lsalted.join(rsalted, [key, "__salt"]).drop("__salt")
+
+    def salted(df: DataFrame, split: Column) -> DataFrame:
+        one = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("__salts")).cast("int")
+        at = (F.when(F.col("__salts").isNull(), F.array(F.lit(0))).when(split, F.array(one))
+              .otherwise(F.sequence(F.lit(0), F.col("__salts") - 1)))
+        return df.join(hot, key, "left").withColumn("__salt", F.explode(at)).drop("__salts", "__split_left")
+
+    return (salted(left, F.col("__split_left"))
+            .join(salted(right, ~F.col("__split_left")), [key, "__salt"]).drop("__salt"))

@@ -127,7 +127,7 @@ def pharmacy_claim_detail(claims: DataFrame, pharm: DataFrame, n: int | None = N
     out = (c.join(p, MK, "inner")
            .select(F.col(MK).alias("member_id"), *cols,
                    (F.col("c_n") * F.col("p_n")).alias("claim_matches")))
-    if not n:
+    if n is None:
         return out
     order = ["member_id", "claim_id", "drug_name", "fill_date", "billed_amount", "paid_amount"]
     top = out.orderBy(*order).limit(n)

@@ -96,6 +96,20 @@ def scd2_changes(current: DataFrame, changes: DataFrame, key: str = "member_id",
     return j.where(_differs(tracked, "__cur_", "")).select(*changes.columns)
 
 
+def _stored_state(stored: DataFrame, batch: DataFrame, key: str, tracked: Sequence[str],
+                  current_flag: str, small: bool, *more: Column) -> DataFrame:
+    """What the table holds of the batch's keys, from one scan of the table: ``__current`` (has a
+    current row), ``__changed`` (a current row differs from the batch) and ``more`` aggregates.
+
+    Keys the table has never seen have no row; the result is bounded by the batch.
+    """
+    new = bounded_like(batch.select(key, *[F.col(c).alias(f"__new_{c}") for c in tracked]), small)
+    is_current = F.coalesce(F.col(current_flag), F.lit(False))
+    return (stored.join(new, key, "inner")
+            .withColumn("__differs", is_current & _differs(tracked, "__new_", ""))
+            .groupBy(key).agg(F.max(is_current).alias("__current"), F.max("__differs").alias("__changed"), *more))
+
+
 def change_reason(status: str | Column = "eligibility_status") -> Column:
     """M4: label of a new version from its status."""
     s = F.col(status) if isinstance(status, str) else status
@@ -116,6 +130,8 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
     * Keys whose current row differs on ``tracked`` (null-safe): the current
       row is closed at ``as_of``; a new current version ``max(version) + 1``
       is added with a status-based reason.  Closed history is never touched.
+    * Keys whose stored rows are all closed get a new current version
+      ``max(version) + 1`` too; nothing is closed for them.
     * Keys the table has never seen are added as version 1, ``New Enrollment``.
     * Keys in the batch that did not change keep their rows as they are.
     * Change rows with a null key are left out; a key with several current rows
@@ -131,9 +147,9 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
     order = [parse_date(start_col)] + ([F.col(id_col)] if id_col else [])
     chg, small = bounded_broadcast(latest_per_key(changes.where(F.col(key).isNotNull()), key, order))
 
-    # one row per key, even where a key has several current rows
-    changed = scd2_changes(current, chg, key, tracked).dropDuplicates([key])
-    changed_keys = bounded_like(changed.select(F.col(key), F.lit(True).alias("__changed")), small)
+    state = _stored_state(current, chg, key, tracked, "is_current_record", small,
+                          F.max("version_number").alias("__max_version"))
+    changed_keys = bounded_like(state.where("__changed").select(key, "__changed"), small)
 
     # close the current row of each changed key; every other row is kept as is
     closing = F.coalesce(F.col("__changed"), F.lit(False)) & F.col("is_current_record")
@@ -144,33 +160,24 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
                               .otherwise(F.col("is_current_record"))})
                 .drop("__changed"))
 
-    max_version = (current.join(changed_keys.select(key), key, "left_semi")
-                   .groupBy(key).agg(F.max("version_number").alias("__max_version")))
-    start = parse_date(start_col) if start_policy == "source" else F.lit(as_of_date)
-    new_versions = (changed.join(bounded_like(max_version, small), key, "left")
-                    .withColumns({"record_start_date": start,
-                                  "record_end_date": F.lit(OPEN_END),
-                                  "is_current_record": F.lit(True),
-                                  "change_reason": change_reason("eligibility_status"),
-                                  "version_number": (F.col("__max_version") + 1).cast("int"),
-                                  "created_timestamp": _ts(as_of_ts)})
-                    .drop("__max_version"))
-
-    seen = bounded_like(keys_seen(current, chg, key, small), small)
-    new_members = (chg.join(seen, key, "left_anti")
-                   .withColumns({"record_start_date": parse_date(start_col),
-                                 "record_end_date": F.lit(OPEN_END),
-                                 "is_current_record": F.lit(True),
-                                 "change_reason": F.lit(NEW_ENROLLMENT),
-                                 "version_number": F.lit(1),
-                                 "created_timestamp": _ts(as_of_ts)}))
+    # one row per key: a new member, a changed one, or one without a current row
+    fresh = F.col("__current").isNull()
+    own_start = parse_date(start_col)
+    start = own_start if start_policy == "source" else F.when(fresh, own_start).otherwise(F.lit(as_of_date))
+    added = (chg.join(bounded_like(state, small), key, "left")
+             .where(fresh | F.col("__changed") | ~F.col("__current"))
+             .withColumns({"record_start_date": start,
+                           "record_end_date": F.lit(OPEN_END),
+                           "is_current_record": F.lit(True),
+                           "change_reason": F.when(fresh, NEW_ENROLLMENT)
+                           .otherwise(change_reason("eligibility_status")),
+                           "version_number": (F.coalesce("__max_version", F.lit(0)) + 1).cast("int"),
+                           "created_timestamp": _ts(as_of_ts)}))
     cols = list(current.columns)
     missing = [c for c in base_cols if c not in cols]
     if missing:
         raise ValueError(f"change set has columns the table lacks: {missing}")
-    return (existing.select(*cols)
-            .unionByName(new_versions.select(*cols))
-            .unionByName(new_members.select(*cols)))
+    return existing.select(*cols).unionByName(added.select(*cols))
 
 
 def change_summary(scd2: DataFrame) -> DataFrame:
@@ -246,26 +253,25 @@ def scd2_apply_dim(dim: DataFrame, updates: DataFrame, natural_key: str = "provi
     Update rows carry their own surrogate key and ``start`` date.  For a
     natural key whose current row differs in any attribute (null-safe), the
     current row is closed at the update's start date and the update becomes
-    current with an open (null) end.  Unknown natural keys are inserted;
-    identical updates change nothing.
+    current with an open (null) end.  Natural keys that are unknown, or have
+    closed rows only, are inserted; identical updates change nothing; updates
+    with a null natural key are left out.
     """
     attrs = [c for c in dim.columns if c not in (natural_key, start, end, current, surrogate_key)]
     upd, small = bounded_broadcast(
-        latest_per_key(updates, natural_key, [F.col(start), F.col(surrogate_key)]))
-    cur = dim.where(F.col(current)).select(
-        F.col(natural_key), *[F.col(c).alias(f"__cur_{c}") for c in attrs])
-    known = upd.join(cur, natural_key, "inner")
-    changed = known.where(_differs(attrs, "__cur_", "")).select(*upd.columns)
-    seen = bounded_like(keys_seen(dim, upd, natural_key, small), small)
-    fresh = upd.join(seen, natural_key, "left_anti")
-    closes = bounded_like(changed.select(F.col(natural_key), F.col(start).alias("__close_at")), small)
+        latest_per_key(updates.where(F.col(natural_key).isNotNull()), natural_key,
+                       [F.col(start), F.col(surrogate_key)]))
+    state = _stored_state(dim, upd, natural_key, attrs, current, small)
+    judged = upd.join(bounded_like(state, small), natural_key, "left")
+    closes = bounded_like(judged.where("__changed")
+                          .select(F.col(natural_key), F.col(start).alias("__close_at")), small)
     closing = F.col("__close_at").isNotNull() & F.col(current)
     existing = (dim.join(closes, natural_key, "left")
                 .withColumns({end: F.when(closing, F.col("__close_at")).otherwise(F.col(end)),
                               current: F.when(closing, F.lit(False)).otherwise(F.col(current))})
                 .drop("__close_at"))
-    added = changed.unionByName(fresh).withColumns({end: F.lit(None).cast("date"),
-                                                     current: F.lit(True)})
+    added = (judged.where(F.col("__current").isNull() | F.col("__changed") | ~F.col("__current"))
+             .withColumns({end: F.lit(None).cast("date"), current: F.lit(True)}))
     return existing.select(*dim.columns).unionByName(added.select(*dim.columns))
 
 

@@ -22,9 +22,10 @@ class Warehouse:
     With ``materialize=True`` (default) a domain table is written once, as
     parquet, into the cluster's shared checkpoint folder and read back from
     there - the stored claims table the reports expect.  The copy is keyed by
-    a fingerprint of the source files (paths, sizes, modification times), so
-    a changed source gets a new copy, and being files in the shared folder it
-    survives lost executors.  Queries then scan a columnar claims table with
+    a fingerprint of the source files (paths, sizes, modification times) and of
+    the table's SQL, so a changed source gets a new copy and later applications
+    with the same ``spark.checkpoint.dir`` reuse it; being files in the shared
+    folder it survives lost executors.  Queries then scan a columnar claims table with
     column pruning and filter pushdown instead of re-deriving it.
     """
 
@@ -74,12 +75,7 @@ class Warehouse:
         key = f"derived:{name}"
         with self._lock:
             if key not in self._frames:
-                df = build()
-                try:
-                    df = _materialized(self.spark, self.sf_dir, name, df)
-                except Exception:  # noqa: BLE001 - no file-system access: stay lazy
-                    pass
-                self._frames[key] = df
+                self._frames[key] = _materialized(self.spark, self.sf_dir, name, build(), shared_path)
             return self._frames[key]
 
     def register_views(self, names: Iterable[str] = tuple(DOMAIN_SQL) + tuple(ALIASES)) -> None:
@@ -117,21 +113,31 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     h = hashlib.sha1(sf_dir.encode())
+    h.update(repr(sorted(DOMAIN_SQL.items())).encode())
     for t in DOMAIN_SOURCES:
         p, fs = _hadoop_fs(spark, f"{sf_dir}/{t}.parquet")
-        st = fs.getFileStatus(p)
-        h.update(f"{t}:{st.getLen()}:{st.getModificationTime()}".encode())
+        files = fs.listFiles(p, True)  # every part file of a folder
+        seen = []
+        while files.hasNext():
+            st = files.next()
+            seen.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update(f"{t}:{sorted(seen)}".encode())
     return h.hexdigest()[:16]
 
 
-def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
+def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, place=None) -> DataFrame:
+    """``df`` as stored below ``place`` (by default the folder that applications share); written
+    beside it first, so that a copy is either whole or absent."""
     from caremart import __version__
 
-    path = shared_path(spark, "caremart-tables", f"{_fingerprint(spark, sf_dir)}-v{__version__}", name)
+    folder = (place or stable_path)(spark, "caremart-tables", f"{_fingerprint(spark, sf_dir)}-v{__version__}")
+    path = f"{folder}/{name}"
     p, fs = _hadoop_fs(spark, path)
-    done = spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
-    if not fs.exists(done):
-        df.write.mode("overwrite").parquet(path)
+    if not fs.exists(p):
+        stage, _ = _hadoop_fs(spark, f"{folder}/_stage-{name}-{uuid.uuid4().hex}")
+        df.write.parquet(stage.toString())
+        if fs.exists(p) or not fs.rename(stage, p):
+            fs.delete(stage, True)  # another application was first
     return spark.read.parquet(path)
 
 
@@ -225,3 +231,10 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([root, *parts])
+
+
+def stable_path(spark: SparkSession, *parts: str) -> str:
+    """As ``shared_path``, but the same for every application that names the same folder; where
+    the setting is absent (tests) this is ``shared_path``."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return "/".join([root.rstrip("/"), *parts]) if root else shared_path(spark, *parts)

@@ -82,3 +82,10 @@ def test_bounded_broadcast_measures_real_bytes(spark):
     assert measured_bytes(big) > 20_000_000
     frame, broadcast = bounded_broadcast(big)
     assert broadcast is False and frame.count() == 2000
+
+
+def test_amounts_below_a_ten_thousandth_add_up(spark):
+    small = spark.range(10_000).select(F.lit(0.00004).alias("x"))
+    assert rows(small.agg(money_sum("x"), money_avg("x"))) == [(0.4, 0.00004)]
+    large = spark.createDataFrame([(3e14,), (4e14,)], "x double")
+    assert rows(large.agg(money_sum("x"))) == [(7e14,)]

@@ -50,3 +50,20 @@ def test_spread_product_join_equals_plain_join(spark, left, right, per_task):
     b = spark.createDataFrame(right, "k int, b int")
     got = rows(spread_product_join(a, b, "k", rows_per_task=per_task).select("k", "a", "b"))
     assert got == rows(a.join(b, "k").select("k", "a", "b"))
+
+
+def test_a_hot_key_is_split_on_its_larger_side(spark):
+    from caremart.operators.joins import spread_product_join
+    one = spark.createDataFrame([(1, 0)], "k int, a int")
+    many = spark.range(400).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("b"))
+    for left, right in ((one, many), (many, one)):
+        joined = spread_product_join(left, right, "k", rows_per_task=10)
+        assert joined.count() == 400 and joined.select("a", "b").distinct().count() == 400
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = spread_product_join(one, many, "k", rows_per_task=10)
+        assert wide.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

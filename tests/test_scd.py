@@ -188,3 +188,20 @@ def test_repeated_and_null_keys_neither_double_nor_vanish(spark):
     twice = change_set(spark, [(1, "B", "S", "L", 1, "PX", 1, 1), (1, "C", "S", "L", 1, "PX", 1, 1), (2, "N", "S", "L", 0, None, 2, 2)], PROV)
     for columns in (None, ["name"]):
         assert rows(scd.scd1_upsert(prov, twice, update_columns=columns), "provider_id", "name") == [("PX", "C")]
+
+
+def test_keys_with_closed_rows_only_get_a_new_current_version(spark):
+    cur = scd.scd2_init(change_set(spark, [(1, 71, "2/1/2022", "2/1/2023", "Active")], ELIG))
+    closed = cur.withColumn("is_current_record", F.lit(False)).withColumn("version_number", F.lit(4))
+    chg = change_set(spark, [(2, 71, "5/1/2024", "5/1/2025", "Active")], ELIG)
+    out = scd.scd2_apply(closed, chg, as_of=AS_OF)
+    assert rows(out, "version_number", "is_current_record") == [(4, False), (5, True)]
+
+
+def test_dimension_keys_with_closed_rows_only_and_null_keys(spark):
+    kind = "provider_key int, provider_id string, name string, start_date date, end_date date, is_current boolean"
+    day = dt.date(2024, 3, 1)
+    dim = spark.createDataFrame([(1, "Q7", "North", dt.date(2023, 1, 1), day, False)], kind)
+    upd = spark.createDataFrame([(2, "Q7", "North", day, None, True), (3, None, "South", day, None, True)], kind)
+    out = scd.scd2_apply_dim(dim, upd)
+    assert rows(out, "provider_key", "is_current") == [(1, False), (2, True)]

@@ -9,7 +9,7 @@ from tests.test_scd import ELIG, _base
 def test_change_stream_builds_versions(spark):
     root = tempfile.mkdtemp(prefix="caremart-stream-")
     feed, target, ckpt = (os.path.join(root, d) for d in ("feed", "table", "ckpt"))
-    spark.createDataFrame([(1, 111260497, "1/1/2023", "6/30/2024", "Terminated"),
+    spark.createDataFrame([(1, 1001, "1/1/2023", "6/30/2024", "Terminated"),
                            (4, 555777888, "7/1/2024", "12/31/2024", "Active")], ELIG) \
         .write.parquet(os.path.join(feed, "part1"))
     stream = spark.readStream.schema(ELIG).parquet(os.path.join(feed, "*"))
