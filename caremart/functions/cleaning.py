@@ -75,7 +75,7 @@ def money_avg(c: str | Column) -> Column:
     return F.try_divide(money_sum(c), F.count(_c(c)))
 
 
-def fixed_avg(c: str | Column, digits: int = 9) -> Column:
+def fixed_avg(c: str | Column, digits: int = 14) -> Column:
     """Order-independent average of a non-money double (e.g. a rate).
 
     A double sum depends on the order rows are added, so the same query can

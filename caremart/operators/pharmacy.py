@@ -21,7 +21,7 @@ drop out, as in the SQL the reports come from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import MONEY, safe_long
@@ -83,12 +83,30 @@ def member_drug_counts(claims: DataFrame, pharm: DataFrame) -> DataFrame:
             .orderBy(F.col("DrugCount").desc(), "member_id", "drug_name"))
 
 
+def _first_sides(c: DataFrame, p: DataFrame, c_order: list[str], p_order: list[str],
+                 n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that the first ``n`` rows of their product, ordered by member first,
+    can come from: the ``n`` smallest members with fills, and ``n`` rows a member on each side
+    (every earlier row of a side stands in at least one earlier row of the product)."""
+    def head(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+        return df.withColumn("__at", at).where(F.col("__at") <= n).drop("__at")
+
+    members = (c.join(p.select(MK), MK, "left_semi").select("member_id").distinct()
+               .orderBy("member_id").limit(n))
+    c = head(c.join(F.broadcast(members), "member_id", "left_semi"), "member_id", c_order)  # n members
+    p = p.join(F.broadcast(c.select(MK).distinct()), MK, "left_semi")  # at most n keys
+    return c, head(p, MK, p_order)
+
+
 def pharmacy_provider_counts(claims: DataFrame, pharm: DataFrame, providers: DataFrame,
                              n: int | None = None) -> DataFrame:
     """A24 (J3): (member, drug, provider, fill date) -> pair count."""
     c = _claims_per_member_provider(claims, providers)
     p = _keyed(pharm).groupBy(MK, "drug_name", "fill_date").agg(F.count(F.lit(1)).alias("p_n"))
-    out = (spread_product_join(c, p, MK)
+    if n is not None:
+        c, p = _first_sides(c, p, ["provider_id"], ["drug_name", "fill_date"], n)
+    out = ((spread_product_join(c, p, MK) if n is None else c.join(p, MK))
            .select("member_id", "drug_name", "provider_id", "fill_date",
                    (F.col("c_n") * F.col("p_n")).alias("DrugCount")))
     if n is not None:
@@ -104,7 +122,10 @@ def pharmacy_provider_payor_totals(claims: DataFrame, pharm: DataFrame, provider
     p = (_keyed(pharm).groupBy(MK, "drug_name", "fill_date")
          .agg(_dsum("billed_amount").alias("p_billed"), _dsum("paid_amount").alias("p_paid")))
     mult = F.col("c_n") * F.col("py_n")
-    out = (spread_product_join(c.join(py, MK, "inner"), p, MK)
+    c = c.join(py, MK, "inner")
+    if n is not None:
+        c, p = _first_sides(c, p, ["provider_id", "payor_type"], ["drug_name", "fill_date"], n)
+    out = ((spread_product_join(c, p, MK) if n is None else c.join(p, MK))
            .select("member_id", "drug_name", "provider_id", "fill_date", "payor_type",
                    _money(F.col("p_billed") * mult).alias("total_billed"),
                    _money(F.col("p_paid") * mult).alias("total_paid")))
@@ -175,8 +196,13 @@ def top_drug_claim(claims: DataFrame, pharm: DataFrame, n: int = 1) -> DataFrame
 
 
 def top_paid_by_payor(claims: DataFrame, payor: DataFrame, n: int = 5) -> DataFrame:
-    """Distinct (claim, provider, payor type, paid) with paid > 0, top ``n`` by paid."""
+    """Distinct (claim, provider, payor type, paid) with paid > 0, top ``n`` by paid.
+
+    Each of the ``n`` largest distinct amounts has at least one row, so rows of smaller amounts
+    never reach the distinct over rows.
+    """
     j = claims_with_payor(claims.where(F.col("paid_amount") > 0), payor)
-    return (j.select("claim_id", "ProviderID", "payor_type", "paid_amount").distinct()
+    amounts = j.select("paid_amount").distinct().orderBy(F.col("paid_amount").desc()).limit(n)
+    return (j.join(F.broadcast(amounts), "paid_amount", "left_semi").select("claim_id", "ProviderID", "payor_type", "paid_amount").distinct()
             .orderBy(F.col("paid_amount").desc(), "claim_id", "ProviderID", "payor_type")
             .limit(n))

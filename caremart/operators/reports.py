@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.bands import age_band
-from caremart.functions.cleaning import fixed_avg, money_avg, money_round_sum, money_sum, ratio
+from caremart.functions.cleaning import MONEY, fixed_avg, money_avg, money_round_sum, money_sum, ratio
 
 
 def _desc_then(keys: Sequence[str], *first: str) -> list[Column]:
@@ -24,7 +24,7 @@ def _desc_then(keys: Sequence[str], *first: str) -> list[Column]:
 
 def _top(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
     out = df.orderBy(*order)
-    return out.limit(n) if n else out
+    return out.limit(n) if n is not None else out
 
 
 def type_state_summary(claims: DataFrame) -> DataFrame:
@@ -57,15 +57,22 @@ def provider_report(enriched: DataFrame) -> DataFrame:
 
 def member_utilization(enriched: DataFrame) -> DataFrame:
     """A3: per member: claims, distinct providers and facilities, cost, stays."""
-    return (enriched.groupBy("member_id")
-            .agg(F.count(F.lit(1)).alias("total_claims"),
+    # combined per pair first, so the distinct counts expand pairs instead of claims
+    pairs = (enriched.groupBy("member_id", "ProviderID", "facility_name")
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.col("billed_amount").cast(MONEY)).alias("cost"),
+                  F.sum(F.col("paid_amount").cast(MONEY)).alias("paid"),
+                  F.sum("is_inpatient").alias("inpatient"), F.sum("is_readmission").alias("readmitted"),
+                  F.sum("Length_of_Stay").alias("days"), F.count("Length_of_Stay").alias("stays")))
+    return (pairs.groupBy("member_id")
+            .agg(F.sum("n").alias("total_claims"),
                  F.countDistinct("ProviderID").alias("unique_providers"),
                  F.countDistinct("facility_name").alias("unique_facilities"),
-                 money_sum("billed_amount").alias("total_cost"),
-                 money_sum("paid_amount").alias("total_paid"),
-                 F.sum("is_inpatient").alias("inpatient_claims"),
-                 F.sum("is_readmission").alias("readmissions"),
-                 F.avg("Length_of_Stay").alias("avg_los"))
+                 F.sum("cost").cast("double").alias("total_cost"),
+                 F.sum("paid").cast("double").alias("total_paid"),
+                 F.sum("inpatient").alias("inpatient_claims"),
+                 F.sum("readmitted").alias("readmissions"),
+                 ratio(F.sum("days"), F.sum("stays")).alias("avg_los"))
             .withColumns({"avg_cost_per_claim": ratio("total_cost", "total_claims"),
                           "inpatient_rate": ratio("inpatient_claims", "total_claims")}))
 

@@ -7,9 +7,10 @@ lineage before the next run.
 
 Shape of one SCD2 run over a large dimension:
 
-* the change set is reduced to one row per key with ``max(struct(...))``, a
-  partial aggregate, so a key repeated a million times costs one row per task;
-* change detection joins current rows to that reduced set on the key;
+* the change set is reduced to one row per key and start date with
+  ``max(struct(...))``, a partial aggregate, so a row repeated a million times
+  costs one row per task and a key has at most one row per calendar day;
+* one scan of the table gives the stored state of the batch's keys;
 * the dimension is read once more and joined (left) to the changed keys to
   close rows, and the new versions and new keys are appended by name.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import parse_date
@@ -64,8 +65,8 @@ def scd2_init(base: DataFrame, as_of_ts=None, start_col: str = "eligibility_star
     })
 
 
-def latest_per_key(changes: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """One row per key: the greatest by ``order`` (then by the whole row).
+def latest_per_key(changes: DataFrame, key: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key (a column or several): the greatest by ``order`` (then by the whole row).
 
     ``max(struct(order..., row))`` is a mergeable aggregate, so Spark combines
     it inside each task before the shuffle: no window, no group held whole.
@@ -73,7 +74,8 @@ def latest_per_key(changes: DataFrame, key: str, order: Sequence[Column]) -> Dat
     cols = changes.columns
     ranked = F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(order)],
                       F.struct(*[F.col(c) for c in cols]).alias("__row"))
-    return (changes.groupBy(F.col(key).alias("__k")).agg(F.max(ranked).alias("__m"))
+    keys = [key] if isinstance(key, str) else key
+    return (changes.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(ranked).alias("__m"))
             .select(*[F.col(f"__m.__row.{c}").alias(c) for c in cols]))
 
 
@@ -97,9 +99,9 @@ def scd2_changes(current: DataFrame, changes: DataFrame, key: str = "member_id",
 
 
 def _stored_state(stored: DataFrame, batch: DataFrame, key: str, tracked: Sequence[str],
-                  current_flag: str, small: bool, *more: Column) -> DataFrame:
+                  current_flag: str, small: bool) -> DataFrame:
     """What the table holds of the batch's keys, from one scan of the table: ``__current`` (has a
-    current row), ``__changed`` (a current row differs from the batch) and ``more`` aggregates.
+    current row) and ``__changed`` (a current row differs from the batch).
 
     Keys the table has never seen have no row; the result is bounded by the batch.
     """
@@ -107,7 +109,7 @@ def _stored_state(stored: DataFrame, batch: DataFrame, key: str, tracked: Sequen
     is_current = F.coalesce(F.col(current_flag), F.lit(False))
     return (stored.join(new, key, "inner")
             .withColumn("__differs", is_current & _differs(tracked, "__new_", ""))
-            .groupBy(key).agg(F.max(is_current).alias("__current"), F.max("__differs").alias("__changed"), *more))
+            .groupBy(key).agg(F.max(is_current).alias("__current"), F.max("__differs").alias("__changed")))
 
 
 def change_reason(status: str | Column = "eligibility_status") -> Column:
@@ -125,17 +127,21 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
                start_policy: str = "source") -> DataFrame:
     """M3: next version of an SCD2 eligibility table.
 
-    * Changes are reduced to the latest row per key (by parsed start date,
-      then ``id_col``).
-    * Keys whose current row differs on ``tracked`` (null-safe): the current
-      row is closed at ``as_of``; a new current version ``max(version) + 1``
-      is added with a status-based reason.  Closed history is never touched.
-    * Keys whose stored rows are all closed get a new current version
-      ``max(version) + 1`` too; nothing is closed for them.
-    * Keys the table has never seen are added as version 1, ``New Enrollment``.
-    * Keys in the batch that did not change keep their rows as they are.
+    * Changes with one key and one parsed start date are reduced to the row
+      with the greatest ``id_col``; a key's other changes become successive
+      versions in order of their start (a missing start first).  Each but the
+      last is closed at the start of the next one.
+    * Changes up to the last that equals the current row on ``tracked``
+      (null-safe) are already stored, and a change that equals the one before
+      it is none, so a batch applied twice changes nothing.
+    * If changes remain, the current row is closed at ``as_of`` and versions
+      from ``max(version) + 1`` on are added with a status-based reason.
+      Closed history is never touched.
+    * Keys whose stored rows are all closed get new versions too; nothing is
+      closed for them.
+    * Keys the table has never seen start with version 1, ``New Enrollment``.
     * Change rows with a null key are left out; a key with several current rows
-      gets all of them closed and one new version.
+      gets all of them closed before its new versions.
     * ``start_policy="source"`` starts a new version at the change row's own
       start date (periods of one member may then overlap, as in the source
       notebooks); ``"as_of"`` starts it at ``as_of`` (no overlap).
@@ -144,12 +150,31 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
         raise ValueError("start_policy must be 'source' or 'as_of'")
     as_of_date = to_date_value(as_of) if as_of is not None else _dt.date.today()
     base_cols = list(changes.columns)
-    order = [parse_date(start_col)] + ([F.col(id_col)] if id_col else [])
-    chg, small = bounded_broadcast(latest_per_key(changes.where(F.col(key).isNotNull()), key, order))
-
-    state = _stored_state(current, chg, key, tracked, "is_current_record", small,
-                          F.max("version_number").alias("__max_version"))
-    changed_keys = bounded_like(state.where("__changed").select(key, "__changed"), small)
+    named = changes.where(F.col(key).isNotNull()).withColumn("__start", parse_date(start_col))
+    chg, small = bounded_broadcast(
+        latest_per_key(named, [key, "__start"], [F.col(id_col)] if id_col else []))
+
+    # what the table holds of the batch's keys, from one scan: a current row, its tracked values
+    # (least and greatest, should a key have several current rows) and the last version
+    is_current = F.coalesce(F.col("is_current_record"), F.lit(False))
+    held = F.when(is_current, F.struct(*tracked))
+    state = (current.join(bounded_like(chg.select(key), small), key, "left_semi")
+             .groupBy(key).agg(F.max(is_current).alias("__current"), F.min(held).alias("__low"),
+                               F.max(held).alias("__high"), F.max("version_number").alias("__max_version")))
+
+    # a key's changes in order of their start: those up to the one that stands are already stored
+    steps = Window.partitionBy(key).orderBy("__start")
+    stands = F.coalesce(F.col("__current"), F.lit(False))
+    for c in tracked:
+        for side in ("__low", "__high"):
+            stands = stands & F.col(c).eqNullSafe(F.col(side).getField(c))
+    values = F.struct(*tracked)
+    kept = (chg.join(bounded_like(state, small), key, "left")
+            .withColumns({"__stored": F.max(stands).over(steps.rowsBetween(0, Window.unboundedFollowing)),
+                          "__same": F.coalesce(values.eqNullSafe(F.lag(values).over(steps)), F.lit(False))})
+            .where(~F.col("__stored") & ~F.col("__same")))
+    changed_keys = bounded_like(kept.where("__current").select(key).distinct()
+                                .withColumn("__changed", F.lit(True)), small)
 
     # close the current row of each changed key; every other row is kept as is
     closing = F.coalesce(F.col("__changed"), F.lit(False)) & F.col("is_current_record")
@@ -160,19 +185,21 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
                               .otherwise(F.col("is_current_record"))})
                 .drop("__changed"))
 
-    # one row per key: a new member, a changed one, or one without a current row
     fresh = F.col("__current").isNull()
-    own_start = parse_date(start_col)
-    start = own_start if start_policy == "source" else F.when(fresh, own_start).otherwise(F.lit(as_of_date))
-    added = (chg.join(bounded_like(state, small), key, "left")
-             .where(fresh | F.col("__changed") | ~F.col("__current"))
-             .withColumns({"record_start_date": start,
-                           "record_end_date": F.lit(OPEN_END),
-                           "is_current_record": F.lit(True),
-                           "change_reason": F.when(fresh, NEW_ENROLLMENT)
-                           .otherwise(change_reason("eligibility_status")),
-                           "version_number": (F.coalesce("__max_version", F.lit(0)) + 1).cast("int"),
-                           "created_timestamp": _ts(as_of_ts)}))
+    own_start, next_start = F.col("__start"), F.lead("__start").over(steps)
+    if start_policy == "as_of":
+        own_start = F.when(fresh, own_start).otherwise(F.lit(as_of_date))
+        next_start = F.when(fresh, next_start).otherwise(F.lit(as_of_date))
+    nth = F.row_number().over(steps)
+    last = F.lead(F.lit(True)).over(steps).isNull()
+    added = kept.withColumns({
+        "record_start_date": own_start,
+        "record_end_date": F.when(last, F.lit(OPEN_END)).otherwise(F.coalesce(next_start, F.lit(as_of_date))),
+        "is_current_record": last,
+        "change_reason": F.when(fresh & (nth == 1), NEW_ENROLLMENT)
+        .otherwise(change_reason("eligibility_status")),
+        "version_number": (F.coalesce("__max_version", F.lit(0)) + nth).cast("int"),
+        "created_timestamp": _ts(as_of_ts)})
     cols = list(current.columns)
     missing = [c for c in base_cols if c not in cols]
     if missing:
@@ -283,13 +310,14 @@ def assign_dim_key(facts: DataFrame, dim: DataFrame, fact_key: str = "provider_i
 
     Validity is half-open ``[start, end)`` with a null end meaning open, so a
     fact dated on a change day gets the new version.  Facts without a valid
-    version keep a null key (left join).
+    version keep a null key (left join).  The dimension is measured, and broadcast
+    if small, so the facts stay where they are.
     """
     if surrogate_key in facts.columns:
         facts = facts.drop(surrogate_key)
-    d = dim.select(F.col(natural_key).alias("__nk"), F.col(start).alias("__s"),
-                   F.coalesce(F.col(end), F.lit(OPEN_END)).alias("__e"),
-                   F.col(surrogate_key).alias("__sk"))
+    d, _ = bounded_broadcast(dim.select(
+        F.col(natural_key).alias("__nk"), F.col(start).alias("__s"),
+        F.coalesce(F.col(end), F.lit(OPEN_END)).alias("__e"), F.col(surrogate_key).alias("__sk")))
     cond = ((facts[fact_key] == d["__nk"]) & (facts[fact_date] >= d["__s"])
             & (facts[fact_date] < d["__e"]))
     return (facts.join(d, cond, "left")
@@ -321,12 +349,14 @@ def run_scd1(spark, target: str, changes: DataFrame, key: str = "provider_id",
     Returns (stored table, upsert summary); the summary counts new keys
     against the table as it was before the run.
     """
-    import uuid
-
-    from caremart.sources.tables import shared_path, write_path, write_table
+    from caremart.sources.tables import write_table
 
     before = spark.table(target)
-    # freeze the pre-image so the summary is not computed from the rewritten table
-    pre = write_path(before, shared_path(spark, "caremart-preimage", f"{target}-{uuid.uuid4().hex[:8]}"))
-    stored = write_table(scd1_upsert(pre, changes, key, update_columns), target)
-    return stored, upsert_summary(pre, stored, changes, key)
+    # counted against the table as it is before the write
+    keys, small = bounded_broadcast(changes.select(key))
+    seen = bounded_like(keys_seen(before, keys, key, small), small)
+    processed, new = keys.count(), keys.join(seen, key, "left_anti").count()
+    stored = write_table(scd1_upsert(before, changes, key, update_columns), target)
+    counts = {"records_processed": processed, "new_records": new, "updated_records": processed - new}
+    return stored, stored.agg(F.count(F.lit(1)).alias("total_after")).withColumns(
+        {name: F.lit(n).cast("long") for name, n in counts.items()})

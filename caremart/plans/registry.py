@@ -156,6 +156,18 @@ def _pharmacy_provider_payor_totals(spark, sf):
     return pharmacy.pharmacy_provider_payor_totals(w.claims, w.pharmacy_claims, w.providers, w.payor)
 
 
+@register("pharmacy_provider_counts_preview", O.PHARMACY_PROVIDER_COUNTS_PREVIEW)
+def _pharmacy_provider_counts_preview(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_provider_counts(w.claims, w.pharmacy_claims, w.providers, n=5)
+
+
+@register("pharmacy_provider_payor_totals_preview", O.PHARMACY_PROVIDER_PAYOR_TOTALS_PREVIEW)
+def _pharmacy_provider_payor_totals_preview(spark, sf):
+    w = wh(spark, sf)
+    return pharmacy.pharmacy_provider_payor_totals(w.claims, w.pharmacy_claims, w.providers, w.payor, n=20)
+
+
 @register("pharmacy_claim_detail", O.PHARMACY_CLAIM_DETAIL)
 def _pharmacy_claim_detail(spark, sf):
     w = wh(spark, sf)
@@ -353,6 +365,9 @@ def _scd2_stored(spark, sf):
 
 
 register("scd2_apply", O.SCD2_APPLY)(lambda spark, sf: _no_ts(_scd2(spark, sf)))
+register("scd2_second_run", O.SCD2_SECOND_RUN)(
+    lambda spark, sf: _no_ts(scd.scd2_apply(_scd2_stored(spark, sf), wh(spark, sf).eligibility_later_updates,
+                                            as_of=O.AS_OF_LATER)))
 register("change_summary", O.CHANGE_SUMMARY)(
     lambda spark, sf: scd.change_summary(_scd2_stored(spark, sf)))
 
@@ -432,6 +447,9 @@ register("filter_keys_list", O.FILTER_KEYS_LIST)(
 register("filter_keys_frame", O.FILTER_KEYS_FRAME)(
     lambda spark, sf: predicates.filter_keys(wh(spark, sf).providers, "provider_id",
                                              wh(spark, sf).provider_updates))
+register("filter_keys_anti", O.FILTER_KEYS_ANTI)(
+    lambda spark, sf: predicates.filter_keys(wh(spark, sf).providers, "provider_id",
+                                             wh(spark, sf).provider_updates, keep=False))
 
 
 def queries() -> dict[str, Query]:

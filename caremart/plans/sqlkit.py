@@ -38,7 +38,7 @@ def any_date(x: str) -> str:
     return f"COALESCE({iso(x)}, {mdy(x)})"
 
 
-def favg(x: str, digits: int = 9) -> str:
+def favg(x: str, digits: int = 14) -> str:
     """Average of a double accumulated in units of 10^-digits (order-independent)."""
     scale = f"1e{digits}"
     return (f"(CAST(SUM(CAST(round({x} * {scale}) AS DECIMAL(38,0))) AS DOUBLE) "

@@ -114,6 +114,20 @@ select cast(100000 + c_custkey as int) as eligibility_id, cast(c_custkey as int)
 from customer where c_custkey % 5 = 0 or c_custkey % 10 = 9
 """
 
+# A later batch: one change for each fifth member, a second one (in the other
+# date layout) for each tenth, members without any stored row included.
+ELIGIBILITY_LATER_UPDATES_SQL = """
+select cast(300000 + c_custkey as int) as eligibility_id, cast(c_custkey as int) as member_id,
+  '2002-03-01' as eligibility_start_date, '2004-12-31' as eligibility_end_date,
+  case when c_custkey % 3 = 0 then 'Pending' else 'Active' end as eligibility_status
+from customer where c_custkey % 5 = 0
+union all
+select cast(600000 + c_custkey as int), cast(c_custkey as int), '4/15/2003',
+  case when c_custkey % 20 = 0 then null else '2005-06-30' end,
+  case when c_custkey % 20 = 0 then 'Suspended' else 'Terminated' end
+from customer where c_custkey % 10 = 0 or c_custkey % 50 = 9
+"""
+
 # Surrogate-key provider dimension (type 2) and its change rows: every
 # supplier is a provider valid from 1995-01-01; every fifth supplier moves to a
 # new state on 1998-06-15 (new surrogate key), and a tenth of those are
@@ -151,6 +165,7 @@ DOMAIN_SQL = {
     "provider_updates": PROVIDER_UPDATES_SQL,
     "eligibility": ELIGIBILITY_SQL,
     "eligibility_updates": ELIGIBILITY_UPDATES_SQL,
+    "eligibility_later_updates": ELIGIBILITY_LATER_UPDATES_SQL,
     "dim_provider": DIM_PROVIDER_SQL,
     "dim_provider_updates": DIM_PROVIDER_UPDATES_SQL,
 }

@@ -31,6 +31,23 @@ def test_preaggregated_equals_row_level_join(spark, claims, fills):
     assert (detail.agg(F.sum("claim_matches")).first()[0] or 0) == j.count()
 
 
+@settings(max_examples=6, deadline=None)
+@given(claims=st.lists(st.tuples(members, st.sampled_from(["PR1", "PR2", "PR3"])), max_size=14),
+       fills=st.lists(st.tuples(members, st.sampled_from(["D1", None, "D2"]), st.sampled_from(["1996-01-01", "1997-02-03"])),
+                      max_size=14), n=st.integers(0, 6))
+def test_limited_products_are_the_head_of_the_whole(spark, claims, fills, n):
+    c = spark.createDataFrame(claims, "member_id string, ProviderID string")
+    p = (spark.createDataFrame(fills, "member_id string, drug_name string, fill_date string")
+         .withColumns({"fill_date": F.to_date("fill_date"), "billed_amount": F.lit(2.5), "paid_amount": F.lit(1.0)}))
+    pr = spark.createDataFrame([("PR1",), ("PR2",), ("PR2",)], "provider_id string")
+    py = spark.createDataFrame([("1", "B"), ("1", "A"), ("02", "A"), ("3", "C")], "member_id string, payor_type string")
+    for fn, sides, width in ((pharmacy.pharmacy_provider_counts, (c, p, pr), 4),
+                             (pharmacy.pharmacy_provider_payor_totals, (c, p, pr, py), 5)):
+        whole = fn(*sides)
+        head = whole.orderBy(*whole.columns[:width]).limit(n)
+        assert [tuple(r) for r in fn(*sides, n=n).collect()] == [tuple(r) for r in head.collect()]
+
+
 def test_top_k_ties_are_deterministic(spark):
     c = spark.createDataFrame([("1", "PR1", 5.0, "c1"), ("1", "PR1", 5.0, "c2"), ("2", "PR2", 9.0, "c3"),
                                ("2", "PR2", -1.0, "c4")],

@@ -26,7 +26,8 @@ def test_top_k_is_take_ordered(spark):
 
 def test_scd_runs_do_not_shuffle_the_dimension(spark):
     from __spark_entry__ import queries
-    for name in ("scd2_apply", "scd1_upsert", "scd1_upsert_columns", "scd2_apply_dim"):
+    for name in ("scd2_apply", "scd1_upsert", "scd1_upsert_columns", "scd2_apply_dim", "scd2_second_run",
+                 "assign_dim_key"):
         plan = _plan(queries()[name](spark, SF_SMALL))
         assert "SortMergeJoin" not in plan, name
 

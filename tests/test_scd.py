@@ -159,21 +159,31 @@ def test_surrogate_key_dimension(spark):
     assert keyed == [("c1", 1), ("c2", 3), ("c3", None)]
 
 
-def test_several_changes_for_one_member_keep_the_latest(spark):
+def test_several_changes_for_one_member_become_versions(spark):
     cur = scd.scd2_init(_base(spark))
     chg = change_set(spark, [
         (21, 1001, "3/1/2024", "12/31/2024", "Suspended"),
         (20, 1001, "1/1/2024", "12/31/2024", "Terminated"),
         (22, 2001, "7/1/2024", "12/31/2024", "Active"),
         (23, 2001, "7/1/2024", "12/31/2025", "Active"),
+        (24, 2001, "2024-09-01", None, "Suspended"),
     ], ELIG)
     out = scd.scd2_apply(cur, chg, as_of=AS_OF)
-    cur_rows = {r.member_id: r for r in out.where("is_current_record").collect()}
-    assert cur_rows[1001].eligibility_status == "Suspended"
-    assert cur_rows[1001].version_number == 2
-    # same start date: the larger id wins
-    assert cur_rows[2001].eligibility_end_date == "12/31/2025"
-    assert out.where("member_id = 2001").count() == 1
+    end = dt.date(9999, 12, 31)
+    got = sorted(tuple(r) for r in out.where("member_id IN (1001, 2001)").select(
+        "member_id", "version_number", "eligibility_id", "record_end_date", "is_current_record",
+        "change_reason").collect())
+    assert got == [
+        (1001, 1, 10, dt.date(2024, 7, 1), False, "Initial Load"),
+        (1001, 2, 20, dt.date(2024, 3, 1), False, "Coverage Terminated"),
+        (1001, 3, 21, end, True, "Coverage Suspended"),
+        (2001, 1, 23, dt.date(2024, 9, 1), False, "New Enrollment"),  # same start date: the larger id wins
+        (2001, 2, 24, end, True, "Coverage Suspended")]
+    again = scd.scd2_apply(out, chg, as_of="2024-08-01")
+    assert rows(again.drop("created_timestamp")) == rows(out.drop("created_timestamp"))
+    # the batch goes on where the stored versions end
+    more = chg.unionByName(change_set(spark, [(30, 1001, "5/1/2024", None, "Active")], ELIG))
+    assert scd.scd2_apply(out, more, as_of="2024-08-01").count() == out.count() + 1
 
 
 def test_repeated_and_null_keys_neither_double_nor_vanish(spark):
