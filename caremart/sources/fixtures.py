@@ -114,8 +114,8 @@ select cast(100000 + c_custkey as int) as eligibility_id, cast(c_custkey as int)
 from customer where c_custkey % 5 = 0 or c_custkey % 10 = 9
 """
 
-# A later batch: one change for each fifth member, a second one (in the other
-# date layout) for each tenth, members without any stored row included.
+# A later batch: a change for each fifth member, and a second one in the other
+# date layout for each tenth; some members that the first batch added change too.
 ELIGIBILITY_LATER_UPDATES_SQL = """
 select cast(300000 + c_custkey as int) as eligibility_id, cast(c_custkey as int) as member_id,
   '2002-03-01' as eligibility_start_date, '2004-12-31' as eligibility_end_date,
