@@ -1,10 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
 Markup is cut into blocks of text.  First pass, each block by itself: blocks inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments are bad; blocks made
-of links are bad; long blocks dense in stop words are good; short ones, and in an article also
-long ones without stop words, stay open.  Second pass: an open block takes the label of its
-nearest decided neighbours in the same region (the article, or the page outside it).
+headers, footers, sidebars, notices, adverts, forms and reader comments are bad; blocks of more
+links than text are bad; other long blocks are good in any language, with or without links
+(signs of Chinese, Japanese and Korean count as several); short ones stay open.  Second pass: an
+open block takes the label of its nearest decided neighbours in the same region (the article,
+or the page outside it); in an article it falls only between two bad ones, and without any
+decided neighbour it is kept.
 
 Defined cases: a null or empty page has empty text; unclosed and stray tags are tolerated;
 a page cut off inside a tag, comment or script ends there; repeated rows stay; further columns
@@ -23,20 +25,7 @@ from pyspark.sql import functions as F
 
 from caremart.llm.common import slices
 
-SHORT, LINKS, STOP_DENSITY = 70, 0.33, 0.25
-
-# Frequent function words of English, German, French and Spanish.
-STOP_WORDS = frozenset(
-    "a about after all also an and any are as at be because been but by can could do for from had has have he her "
-    "him his how i if in into is it its like more my no not of on one only or other our out over she so some than "
-    "that the their them then there these they this to up was we were what when which who will with would you your "
-    "aber als am an auch auf aus bei bin bis das dass dem den der des die doch du durch ein eine einem einen einer "
-    "er es für hat hatte ich ihr im in ist ja kann man mehr mich mit nach nicht noch nur oder sein sich sie sind so "
-    "über um und uns unter vom von vor war was wenn wie wir wird zu zum zur "
-    "au aux avec ce ces cette comme dans de des du elle en est et être eux il ils je la le les leur lui ma mais me "
-    "même mon ne nous on ont ou où par pas plus pour qu que qui sa sans se ses si son sont sur te tu un une vous "
-    "al ante como con del desde donde e el ella ellos era es esta este fue ha hay la las lo los más mi muy no nos "
-    "o para pero por porque que se sin sobre su sus también un una uno unos y ya".split())
+SHORT, LINKS = 70, 0.5
 
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "title", "math")
 HIDDEN = frozenset("nav footer aside form dialog menu select button option datalist fieldset label head".split())
@@ -61,7 +50,9 @@ _TOKEN = re.compile(
     r"|<[/!?][^>]*(?:>|\Z)|<[a-z][^<>]*(?:>|\Z|(?=<))", re.I | re.S)
 _MARKED = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_]+")
-_WORD = re.compile(r"[^\W\d_]+")
+# Signs that stand for a syllable or a word.
+_SIGN = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff]")
+SIGN = 3  # letters that such a sign counts as
 
 
 def _is_marked(attrs: str) -> bool:
@@ -146,43 +137,39 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     return out
 
 
+def _size(text: str) -> int:
+    """Length of a text in letters, alike in every script."""
+    return len(text) if text.isascii() else len(text) + (SIGN - 1) * len(_SIGN.findall(text))
+
+
 def extract(page: str | None) -> str:
     """The page's main text: its good blocks, one a line."""
     found = blocks(page or "")
     label: list[bool | None] = []
-    for text, links, bad, region in found:
-        tokens = _WORD.findall(text.lower())
-        stop = sum(t in STOP_WORDS for t in tokens) / len(tokens) if tokens else 0.0
-        if bad or links > (0.5 if region else LINKS):
+    for text, links, bad, _ in found:
+        if bad or links > LINKS:
             label.append(False)
-        elif len(text) >= SHORT and stop >= STOP_DENSITY:
-            label.append(True)
-        elif region or len(text) < SHORT and not links:
-            label.append(None)
         else:
-            label.append(False)
+            label.append(True if _size(text) >= SHORT else None)
     has_region = any(r for *_, r in found)
     out = []
     for region in dict.fromkeys(r for *_, r in found):
         own = [i for i, b in enumerate(found) if b[3] == region and not b[2]]
         decided = [i for i in own if label[i] is not None]
         k = 0
-        for p, i in enumerate(own):
+        for i in own:
             if label[i] is not None:
                 k += 1
                 keep = label[i]
             else:
                 near = [decided[x] for x in (k - 1, k) if 0 <= x < len(decided)]
-                votes = {label[j] for j in near}
-                if not near:
-                    keep = bool(region)
-                elif len(votes) == 1:
-                    keep = votes.pop()
-                else:  # the nearer one; in an article good wins a tie
-                    gap = [abs(i - j) for j in near]
-                    keep = label[near[gap.index(min(gap))]] if gap[0] != gap[1] else bool(region)
-                if region and not keep and not any(label[j] is False and found[j][1] > 0 for j in near):
-                    keep = True
+                good = [j for j in near if label[j]]
+                if region:
+                    keep = bool(good) or len(near) < 2
+                elif len(near) == 2 and len(good) == 1:  # the nearer one; good wins a tie
+                    keep = abs(i - good[0]) * 2 <= near[1] - near[0]
+                else:
+                    keep = len(good) == len(near)
             if keep and (region or not has_region):
                 out.append(i)
     return "\n".join(found[i][0] for i in sorted(out))

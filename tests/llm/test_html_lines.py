@@ -38,6 +38,35 @@ def test_pages(page, want):
     assert H.extract(page) == want
 
 
+ITALIAN = "Nessuno dei presenti aveva mai visto una casa simile, costruita pietra dopo pietra sulla collina davanti al mare."
+RUSSIAN = "Никто из жителей города прежде не видел такого большого дома, построенного на холме рядом с морем много лет назад."
+CHINESE = "这座城市的居民从来没有见过这样的房子,它建在海边的山上已经很多年了。"
+TERSE = "Copper tubing, brass fittings, rubber gaskets, steel bolts, nylon washers, silicone grease, spare valves included."
+LIST = "<ul><li><a href=a>First of the other pages</a></li><li><a href=b>Second</a></li></ul>"
+CITED = "It was <a href=x>the first of the houses on that hill</a> and also <a href=y>the last of them</a>, as all who had been there said at once."
+
+
+@pytest.mark.parametrize("body", [[ITALIAN], [RUSSIAN], [CHINESE], [TERSE], [LONG, TERSE, MORE], [ITALIAN, "Sì.", RUSSIAN], [LONG, CITED],
+                                  [CITED], [LONG, "See <a href=x>this</a>.", MORE], ["Title", CHINESE, CHINESE]])
+@pytest.mark.parametrize("box", ["div", "section", "article", "main"])
+def test_no_paragraph_is_lost_for_its_language_or_links(body, box):
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    page = f"<body>{LIST}<nav>{MORE}</nav><{box}>{inner}</{box}><div class=ad>{ITALIAN}</div>{LIST}<footer>{RUSSIAN}</footer></body>"
+    assert H.extract(page) == "\n".join(re.sub("<[^>]*>", "", x) for x in body)
+
+
+def test_paragraphs_of_an_article_beside_links_stay():
+    page = f"<article><p>{LONG}</p>{LIST}<p>{TERSE}</p>{LIST}<p>{ITALIAN}</p></article>"
+    assert H.extract(page) == f"{LONG}\n{TERSE}\n{ITALIAN}"
+
+
+def test_test_pages_keep_their_text_without_an_article(small):
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(small + "/pages.parquet")["html"].to_pylist():
+        assert H.extract(page.replace("<article>", "<div>").replace("</article>", "</div>")) == H.extract(page) != ""
+
+
 def test_hostile_pages_end():
     for page in ("<" * 50_000, "<a " * 20_000, "<p title='" * 2_000, "<div>" * 20_000 + "x", "&" * 50_000, "<!--" * 20_000):
         H.extract(page)
