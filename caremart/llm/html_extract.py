@@ -9,8 +9,9 @@ or the page outside it); in an article it falls only between two bad ones, and w
 decided neighbour it is kept.
 
 Defined cases: a null or empty page has empty text; unclosed and stray tags are tolerated;
-a page cut off inside a tag, comment or script ends there; repeated rows stay; further columns
-are ignored.  Nothing is capped: every page is read whole.
+a head ends at its first text or element of the body; a self-closed svg or math is empty; a page
+cut off inside a tag, comment or script ends there; repeated rows stay; further columns are ignored.
+Nothing is capped: every page is read whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHORT, LINKS = 70, 0.5
 
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "title", "math")
 HIDDEN = frozenset("nav footer aside form dialog menu select button option datalist fieldset label head".split())
+# Elements of a page's head; any other one, or text, ends it without a closing tag.
+IN_HEAD = frozenset("base link meta basefont bgsound noframes".split())
 REGIONS = frozenset(("article", "main"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span "
                    "strike strong sub sup time tt u var wbr img br".split())
@@ -45,7 +48,8 @@ MARKS = frozenset("ad ads advert advertisement advertising adbox banner sponsor
 NOT_MARKS = frozenset("has with no without is show".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?![a-z0-9:_-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"  # empty, without a closing tag
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?![a-z0-9:_-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:_-]*)(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)>"
     r"|<[/!?][^>]*(?:>|\Z)|<[a-z][^<>]*(?:>|\Z|(?=<))", re.I | re.S)
 _MARKED = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -90,8 +94,17 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             text.clear()
             linked.clear()
 
+    def leave_head() -> None:
+        nonlocal bad, region
+        if stack and stack[-1][0] == "head":
+            flush()
+            stack.pop()
+            _, bad, region = stack[-1] if stack else ("", False, 0)
+
     def add(piece: str) -> None:
         if piece:
+            if bad and not piece.isspace():
+                leave_head()
             text.append(piece)
             if link:
                 linked.append(piece)
@@ -103,6 +116,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
         if name is None:
             continue
         name = name.lower()
+        if bad and not m["close"] and name not in IN_HEAD:
+            leave_head()
         if name == "a":
             link = 0 if m["close"] else 1
         elif name in INLINE:

@@ -67,6 +67,22 @@ def test_test_pages_keep_their_text_without_an_article(small):
         assert H.extract(page.replace("<article>", "<div>").replace("</article>", "</div>")) == H.extract(page) != ""
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<html><head><meta charset=utf-8><title>x</title><link rel=y><body><article><p>{LONG}</p></article></body></html>", LONG),
+    (f"<head><title>x</title><style>p{{}}</style><meta name=z>\n<div><p>{LONG}</p><p>{MORE}</p></div>", f"{LONG}\n{MORE}"),
+    (f"<head><title>x</title><b>Bold</b> start.<p>{LONG}</p>", f"Bold start.\n{LONG}"),
+    (f"<head><title>x</title>Plain start.<p>{LONG}</p>", f"Plain start.\n{LONG}"),
+    (f"<head><title>x</title><script>1</script><nav>{MORE}</nav><main><p>{LONG}</p></main>", LONG),
+    (f"<head><title>x</title></head><body><p>{LONG}</p></body>", LONG),
+    (f"<article><p>{LONG}</p><svg class='icon' viewBox=\"0 0 1 1\" /><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+    (f"<svg/><math display=block/><div><p>{LONG}<svg title='a > b'/></p></div><SVG x=1/><p>{MORE}</p>", f"{LONG}\n{MORE}"),
+    (f"<article><p>{LONG}</p><svg><text>drawn</text><path d='x'/></svg><p>{MORE}</p><svg-icon></svg-icon><p>{LONG}</p></article>",
+     f"{LONG}\n{MORE}\n{LONG}"),
+])
+def test_open_heads_and_empty_drawings_hide_nothing(page, want):
+    assert H.extract(page) == want
+
+
 def test_hostile_pages_end():
     for page in ("<" * 50_000, "<a " * 20_000, "<p title='" * 2_000, "<div>" * 20_000 + "x", "&" * 50_000, "<!--" * 20_000):
         H.extract(page)
