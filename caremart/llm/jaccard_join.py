@@ -261,8 +261,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def exact_pairs(sets: list[np.ndarray], blocks: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, later j with a Jaccard similarity of at least the threshold); across blocks if there are two."""
+def exact_pairs(sets: list[np.ndarray], blocks: np.ndarray, similarity: float,
+                across: bool | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, later j with a Jaccard similarity of at least the threshold); only ``across`` blocks (a tile of
+    two blocks, even if the rows of one are missing), by default if there are two."""
     n = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     _, number, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -273,7 +275,7 @@ def exact_pairs(sets: list[np.ndarray], blocks: np.ndarray, similarity: float) -
     width = max(1, -(-int((seen > 1).sum()) // 64))
     bits = np.zeros((len(sets), width), np.uint64)
     np.bitwise_or.at(bits, (owner, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
-    two = len(np.unique(blocks)) > 1
+    two = len(np.unique(blocks)) > 1 if across is None else across
     for i in range(len(sets) - 1):
         later = np.arange(i + 1, len(sets))
         if two:
@@ -291,12 +293,12 @@ def _links(rows: DataFrame, similarity: float, size: int) -> DataFrame:
     kind = "a long, b long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in grouped(batches, 3):
+        for (_, x, y), t in grouped(batches, 3):
             nodes, same = t.column("node").to_numpy(), t.column("n_same").to_numpy()
             blocks = t.column("block").to_numpy()
-            sets = [shingle_set(x, size) for x in t.column("text").to_pylist()]
+            sets = [shingle_set(w, size) for w in t.column("text").to_pylist()]
             # an id given to several texts: only the text of this node counts, once
-            own = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == x for s, x in zip(sets, nodes.tolist(), strict=True)]
+            own = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == w for s, w in zip(sets, nodes.tolist(), strict=True)]
             _, once = np.unique(nodes[own], return_index=True)
             at = np.flatnonzero(own)[once]
             if len(at) < 2:
@@ -304,8 +306,8 @@ def _links(rows: DataFrame, similarity: float, size: int) -> DataFrame:
             nodes, same, blocks, sets = nodes[at], same[at], blocks[at], [sets[i] for i in at]
             linked = np.zeros(len(at), np.int64)
 
-            def counted(nodes=nodes, same=same, blocks=blocks, sets=sets, linked=linked) -> Iterator[tuple[int, np.ndarray]]:
-                for i, j in exact_pairs(sets, blocks, similarity):
+            def counted(across=x != y, same=same, blocks=blocks, sets=sets, linked=linked) -> Iterator[tuple[int, np.ndarray]]:
+                for i, j in exact_pairs(sets, blocks, similarity, across):
                     linked[i] += same[j].sum()
                     linked[j] += same[i]
                     yield i, j

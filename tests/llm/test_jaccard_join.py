@@ -78,6 +78,21 @@ def test_large_buckets_go_through_blocks_and_tiles(spark):
     assert run(spark, rows, bucket=16, tile_rows=24, deepest=3) == brute(rows)
 
 
+@pytest.mark.parametrize("tile_bytes", [40, 500])
+def test_links_are_counted_once_when_tiles_lack_a_block(spark, tile_bytes):
+    """Texts far above a tile's bytes: most blocks of a component are empty."""
+    rows = variants(5, 6, 2, length=200) + variants(6, 2, 3, length=150)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    rows += [(0, "quite another text that is near to none"), (3, rows[5][1])]  # ids given to several texts
+    assert run(spark, rows, tile_bytes=tile_bytes) == brute(rows)
+
+
+def test_exact_pairs_across_blocks_only():
+    sets, block = [np.arange(50, dtype=np.uint64)] * 3, np.zeros(3, int)
+    assert [len(j) for _, j in J.exact_pairs(sets, block, 0.8, False)] == [2, 1]
+    assert not any(len(j) for _, j in J.exact_pairs(sets, block, 0.8, True))
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     rows = variants(3, 10, 6) + [(1000, None), (1001, ""), (1002, "only here once a b c"), (1002, "only here once a b c")]
     df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], DOCS + ", lang string, n long")
