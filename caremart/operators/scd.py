@@ -98,20 +98,6 @@ def scd2_changes(current: DataFrame, changes: DataFrame, key: str = "member_id",
     return j.where(_differs(tracked, "__cur_", "")).select(*changes.columns)
 
 
-def _stored_state(stored: DataFrame, batch: DataFrame, key: str, tracked: Sequence[str],
-                  current_flag: str, small: bool) -> DataFrame:
-    """What the table holds of the batch's keys, from one scan of the table: ``__current`` (has a
-    current row) and ``__changed`` (a current row differs from the batch).
-
-    Keys the table has never seen have no row; the result is bounded by the batch.
-    """
-    new = bounded_like(batch.select(key, *[F.col(c).alias(f"__new_{c}") for c in tracked]), small)
-    is_current = F.coalesce(F.col(current_flag), F.lit(False))
-    return (stored.join(new, key, "inner")
-            .withColumn("__differs", is_current & _differs(tracked, "__new_", ""))
-            .groupBy(key).agg(F.max(is_current).alias("__current"), F.max("__differs").alias("__changed")))
-
-
 def change_reason(status: str | Column = "eligibility_status") -> Column:
     """M4: label of a new version from its status."""
     s = F.col(status) if isinstance(status, str) else status
@@ -277,28 +263,54 @@ def scd2_apply_dim(dim: DataFrame, updates: DataFrame, natural_key: str = "provi
                    surrogate_key: str = "provider_key") -> DataFrame:
     """M8: apply new versions to a dimension with surrogate keys.
 
-    Update rows carry their own surrogate key and ``start`` date.  For a
-    natural key whose current row differs in any attribute (null-safe), the
-    current row is closed at the update's start date and the update becomes
-    current with an open (null) end.  Natural keys that are unknown, or have
-    closed rows only, are inserted; identical updates change nothing; updates
-    with a null natural key are left out.
+    Update rows carry their own surrogate key and ``start`` date.  Updates with one natural key and one
+    start are reduced to the greatest surrogate key; a key's other updates become successive versions in
+    order of their start, each but the last closed at the start of the next one.  The first that differs
+    from the current row in any attribute (null-safe) closes it at its own start; the last becomes current
+    with an open (null) end.  An update that equals the one before it, or the current row, changes
+    nothing, and so does one whose version (start and attributes) the dimension holds, unless all rows of
+    its key are closed.  Natural keys that are unknown, or have closed rows only, are inserted;
+    updates with a null natural key are left out.
     """
     attrs = [c for c in dim.columns if c not in (natural_key, start, end, current, surrogate_key)]
     upd, small = bounded_broadcast(
-        latest_per_key(updates.where(F.col(natural_key).isNotNull()), natural_key,
-                       [F.col(start), F.col(surrogate_key)]))
-    state = _stored_state(dim, upd, natural_key, attrs, current, small)
-    judged = upd.join(bounded_like(state, small), natural_key, "left")
-    closes = bounded_like(judged.where("__changed")
-                          .select(F.col(natural_key), F.col(start).alias("__close_at")), small)
+        latest_per_key(updates.where(F.col(natural_key).isNotNull()), [natural_key, start],
+                       [F.col(surrogate_key)]))
+
+    # what the dimension holds of each update's key, from one scan: a current row, its attributes
+    # (least and greatest, should a key have several current rows), and the update's own version
+    new = bounded_like(upd.select(natural_key, F.col(start).alias("__new_start"),
+                                  *[F.col(c).alias(f"__new_{c}") for c in attrs]), small)
+    is_current = F.coalesce(F.col(current), F.lit(False))
+    held = F.when(is_current, F.struct(*attrs))
+    version = F.col(start).eqNullSafe(F.col("__new_start")) & ~_differs(attrs, "__new_", "")
+    state = (dim.join(new, natural_key).withColumn("__version", version)
+             .groupBy(F.col(natural_key).alias("__key"), "__new_start")
+             .agg(F.max(is_current).alias("__current"), F.min(held).alias("__low"),
+                  F.max(held).alias("__high"), F.max("__version").alias("__held")))
+
+    steps = Window.partitionBy(natural_key).orderBy(start)
+    stands = F.coalesce(F.col("__current"), F.lit(False))
+    stored = stands & F.coalesce(F.col("__held"), F.lit(False))
+    for c in attrs:
+        for side in ("__low", "__high"):
+            stands = stands & F.col(c).eqNullSafe(F.col(side).getField(c))
+    values = F.struct(*attrs)
+    own = (F.col(natural_key) == F.col("__key")) & F.col(start).eqNullSafe(F.col("__new_start"))
+    kept = (upd.join(bounded_like(state, small), own, "left")
+            .withColumn("__same", F.coalesce(values.eqNullSafe(F.lag(values).over(steps)), F.lit(False)))
+            .where(~stored & ~F.col("__same"))
+            .withColumn("__nth", F.row_number().over(steps))
+            .where((F.col("__nth") > 1) | ~stands))
+    closes = bounded_like(kept.where("__current").groupBy(natural_key)
+                          .agg(F.min(start).alias("__close_at")), small)
     closing = F.col("__close_at").isNotNull() & F.col(current)
     existing = (dim.join(closes, natural_key, "left")
                 .withColumns({end: F.when(closing, F.col("__close_at")).otherwise(F.col(end)),
                               current: F.when(closing, F.lit(False)).otherwise(F.col(current))})
                 .drop("__close_at"))
-    added = (judged.where(F.col("__current").isNull() | F.col("__changed") | ~F.col("__current"))
-             .withColumns({end: F.lit(None).cast("date"), current: F.lit(True)}))
+    added = kept.withColumns({end: F.lead(start).over(steps).cast("date"),
+                              current: F.lead(F.lit(True)).over(steps).isNull()})
     return existing.select(*dim.columns).unionByName(added.select(*dim.columns))
 
 

@@ -215,3 +215,32 @@ def test_dimension_keys_with_closed_rows_only_and_null_keys(spark):
     upd = spark.createDataFrame([(2, "Q7", "North", day, None, True), (3, None, "South", day, None, True)], kind)
     out = scd.scd2_apply_dim(dim, upd)
     assert rows(out, "provider_key", "is_current") == [(1, False), (2, True)]
+
+
+def test_several_updates_of_one_dimension_key_become_versions(spark):
+    day = dt.date
+    dim = change_set(spark, [(1, "D7", "H. Brandt", "Cardiology", "NY", day(2020, 1, 1), None, True),
+                             (2, "D9", "L. Moreau", "Pediatrics", "CA", day(2019, 5, 15), None, True)], DIM)
+    upd = change_set(spark, [
+        (5, "D7", "H. Brandt", "Cardiology", "TX", day(2024, 6, 15), None, True),
+        (3, "D7", "H. Brandt", "Cardiology", "CA", day(2024, 1, 10), None, True),
+        (4, "D7", "H. Brandt", "Cardiology", "CA", day(2024, 3, 1), None, True),  # equals the one before
+        (6, "D9", "L. Moreau", "Pediatrics", None, day(2024, 2, 1), None, True),
+        (7, "D9", "L. Moreau", "Pediatrics", "CA", day(2024, 4, 1), None, True),  # back to the stored values
+        (9, "D8", "A. Roux", "Oncology", "WA", day(2024, 5, 1), None, True),
+        (8, "D8", "A. Roux", "Oncology", "OR", day(2024, 5, 1), None, True),  # same start: the larger key wins
+        (10, "D8", "A. Roux", "Oncology", "ID", day(2024, 7, 1), None, True)], DIM)
+    out = scd.scd2_apply_dim(dim, upd)
+    got = rows(out, "provider_id", "provider_key", "start_date", "end_date", "is_current")
+    assert got == rows(spark.createDataFrame([
+        ("D7", 1, day(2020, 1, 1), day(2024, 1, 10), False), ("D7", 3, day(2024, 1, 10), day(2024, 6, 15), False),
+        ("D7", 5, day(2024, 6, 15), None, True), ("D9", 2, day(2019, 5, 15), day(2024, 2, 1), False),
+        ("D9", 6, day(2024, 2, 1), day(2024, 4, 1), False), ("D9", 7, day(2024, 4, 1), None, True),
+        ("D8", 9, day(2024, 5, 1), day(2024, 7, 1), False), ("D8", 10, day(2024, 7, 1), None, True)],
+        "provider_id string, provider_key int, start_date date, end_date date, is_current boolean"))
+    facts = spark.createDataFrame([("c1", "D7", day(2024, 3, 5)), ("c2", "D9", day(2024, 3, 5)), ("c3", "D7", day(2024, 6, 15))],
+                                  "claim_id string, provider_id string, claim_date date")
+    assert rows(scd.assign_dim_key(facts, out), "claim_id", "provider_key") == [("c1", 3), ("c2", 6), ("c3", 5)]
+    # the batch applied again, whole or in part, changes nothing
+    assert rows(scd.scd2_apply_dim(out, upd)) == rows(out)
+    assert rows(scd.scd2_apply_dim(out, upd.where("provider_key IN (3, 6)"))) == rows(out)
