@@ -12,8 +12,9 @@ A tile returns at most k rows a query, whatever the number of equal or near vect
 
 Defined cases: rows with a null id, and vectors that are null, empty, all zero or hold a null
 or non-finite component take no part; vectors of another length than the query's are no
-candidates; an id given twice keeps its smallest vector; fewer than k candidates are all
-returned; empty tables give empty results; further columns are ignored.
+candidates; an id given to several vectors is reached by each of them, and as a query asks with
+each, and counts with its best score; fewer than k candidates are all returned; empty tables give
+empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,10 +50,12 @@ def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def tile_nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int, step: int = 256) -> pd.DataFrame:
-    """The k nearest rows of each query within one tile (columns id, v)."""
+    """The k nearest ids of each query row within one tile (columns id, v)."""
     out: list[tuple[int, int, float]] = []
     if len(queries) and len(rows):
+        rows = rows.sort_values("id", kind="stable")
         qid, rid = queries["id"].to_numpy(), rows["id"].to_numpy()
+        first = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])  # rows of one id follow each other
         qv, qn, q8, qs, qe = _unit(queries["v"])
         rv, rn, r8, rs, re = _unit(rows["v"])
         for a in range(0, len(qid), step):
@@ -61,13 +64,18 @@ def tile_nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int, step: int =
             err = (1 + qe[a:b, None]) * re[None, :] + qe[a:b, None] + SLACK
             own = qid[a:b, None] == rid[None, :]
             low = np.where(own, -np.inf, near - err)
+            if len(first) < len(rid):
+                low = np.maximum.reduceat(low, first, axis=1)
             kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(b - a, -np.inf)
             keep = ((near + err) >= kth[:, None]) & ~own
             for i in range(b - a):
                 j = np.flatnonzero(keep[i])
                 score = np.einsum("ij,ij->i", rv[j], np.broadcast_to(qv[a + i], (len(j), qv.shape[1])))
                 score = score / (rn[j] * qn[a + i])
-                best = heapq.nsmallest(k, zip((-score).tolist(), rid[j].tolist(), strict=True))
+                of_id: dict[int, float] = {}
+                for r, s in zip(rid[j].tolist(), (-score).tolist(), strict=True):
+                    of_id[r] = min(s, of_id.get(r, s))
+                best = heapq.nsmallest(k, ((s, r) for r, s in of_id.items()))
                 out += [(int(qid[a + i]), r, -s) for s, r in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -80,13 +88,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                               F.col(vector_col).cast("array<double>").alias("v"),
                               F.coalesce(is_query, F.lit(False)).alias("is_query"))
                .filter(F.col("id").isNotNull() & whole & F.exists("v", lambda x: x != 0))
-               .groupBy("id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
+               .groupBy("id", "v").agg(F.max("is_query").alias("is_query"))
                .withColumn("dim", F.size("v")), "ann")
     size = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     row_blocks, query_blocks = max(1, -(-size["n"] // tile_rows)), max(1, -(-size["q"] // tile_rows))
 
     def block(seed: str, n: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -100,5 +108,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     found = queries.groupBy("dim", "qb", "rb").cogroup(others.groupBy("dim", "qb", "rb")).applyInPandas(tile, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    each = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return (each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

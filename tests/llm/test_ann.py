@@ -59,6 +59,26 @@ def test_ties_and_near_ties(spark, tile):
     check(ann.nearest(df, F.col("vec_id") % 10 == 0, 5, tile_rows=tile), rows, 10, 5)
 
 
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_every_vector_of_an_id_counts(spark, tile):
+    rng = np.random.default_rng(8)
+    rows = [(i % 25, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(100)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], KIND)
+    want = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i % 10 == 0 and i != j:
+                a, b = np.array(v), np.array(w)
+                want.setdefault(i, {}).setdefault(j, []).append(float(a @ b) / np.sqrt(float(a @ a) * float(b @ b)))
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0, 5, tile_rows=tile).orderBy("query_id", "rank").collect()
+    assert len(got) == 5 * len(want)
+    for q, near in want.items():
+        best = sorted(((-max(s), j) for j, s in near.items()))[:5]
+        own = [r for r in got if r["query_id"] == q]
+        assert [(r["rank"], r["vec_id"]) for r in own] == [(n + 1, j) for n, (_, j) in enumerate(best)]
+        assert np.allclose([r["score"] for r in own], [-s for s, _ in best], atol=1e-12)
+
+
 def test_query_equals_brute_force(spark, small):
     from caremart.llm.queries import op2_nearest
 
