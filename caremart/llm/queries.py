@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caremart.llm import (ann, decontaminate, html_extract, jaccard_join, line_dedup, mixing, sharding,
+from caremart.llm import (ann, conversation_repair, decontaminate, html_extract, jaccard_join, line_dedup, mixing, sharding,
                           token_counts, token_orc, toxicity)
 from caremart.llm.common import only, scratch, table
 
@@ -78,6 +78,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -203,6 +207,94 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+# crc32 is not a function of DuckDB: a table of the 256 remainders, then byte by byte.
+_CRC32 = """
+crc_steps(n, i, c) AS (
+  SELECT n, 0, n::BIGINT FROM range(256) t(n)
+  UNION ALL
+  SELECT n, i + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE i < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_steps WHERE i = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of ASCII text; ``crc_table`` must be in scope."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),"
+            f" lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295)")
+
+
+# The states are what the repaired turns end with: nothing, a lone s, u, or a (after a u).
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC32},
+plain AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT plain.*, {_crc32("key")} % 20 AS kind FROM plain, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         UNNEST(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, bare = '' AS is_blank,
+         bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS is_duplicate,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair,
+         max(i) OVER (PARTITION BY conv_id) AS n FROM numbered),
+faults AS (
+  SELECT *, is_blank OR is_duplicate AS gone, NOT is_blank AND NOT is_duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS cut
+  FROM judged),
+inserts(st, word, st2) AS (
+  VALUES ('', '', ''), ('s', '', 's'), ('u', '', 'u'), ('a', '', 'a'), ('', 'I', 'u'), ('s', 'I', 'u'), ('u', 'I', 'a'),
+         ('a', 'I', 'u'), ('', 'II', 'a'), ('s', 'II', 'a')),
+steps(st, letter, wanted, st2) AS (
+  VALUES ('', 'D', NULL, ''), ('s', 'D', NULL, 's'), ('u', 'D', NULL, 'u'), ('a', 'D', NULL, 'a'), ('', 'K', 's', 's'),
+         ('', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('a', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'),
+         ('', 'R', NULL, 'u'), ('s', 'R', NULL, 'u'), ('a', 'R', NULL, 'u'), ('u', 'R', NULL, 'a')),
+moves AS (
+  SELECT i.st, i.word || s.letter AS word, s.letter, s.wanted, s.st2,
+         5 * length(i.word) + CASE s.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END AS cost
+  FROM inserts i JOIN steps s ON i.st2 = s.st),
+scripts(conv_id, i, st, cost, audit) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', 0, '' FROM faults
+  UNION ALL
+  (SELECT conv_id, i, st, (best).c, (best).a FROM (
+    SELECT f.conv_id, f.i, m.st2 AS st,
+           min({{'c': p.cost + m.cost + CASE WHEN f.cut AND m.letter <> 'D' THEN 5 ELSE 0 END, 'a': p.audit || m.word}}) AS best
+    FROM scripts p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+    JOIN moves m ON m.st = p.st AND (m.letter = 'D' OR NOT f.gone) AND (m.wanted IS NULL OR m.wanted = f.initial)
+    GROUP BY f.conv_id, f.i, m.st2))),
+ended AS (
+  SELECT s.conv_id, min({{'c': s.cost + 5 * length(i.word), 'a': s.audit || i.word}}) AS best
+  FROM scripts s JOIN (SELECT conv_id, max(i) AS n FROM faults GROUP BY conv_id) z
+    ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.n = s.i
+  JOIN inserts i ON i.st = s.st AND i.st2 IN ('', 'a') GROUP BY s.conv_id),
+audits AS (SELECT conv_id, (best).c AS cost, (best).a AS audit, len(replace((best).a, 'D', '')) AS size FROM ended),
+edits AS (
+  SELECT conv_id, size, p, substr(audit, p, 1) AS edit, p - len(replace(substr(audit, 1, p), 'I', '')) AS inserted,
+         len(replace(substr(audit, 1, p - 1), 'D', '')) AS before
+  FROM (SELECT *, UNNEST(range(1, len(audit) + 1)) AS p FROM audits)),
+repaired AS (
+  SELECT e.conv_id, string_agg(
+    CASE WHEN edit = 'K' THEN f.role WHEN (before - size % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END
+      || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY p) AS text
+  FROM edits e LEFT JOIN faults f ON edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = p - inserted
+  WHERE edit <> 'D' GROUP BY e.conv_id),
+counted AS (
+  SELECT conv_id, COALESCE(max(turn) - min(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, count_if(is_blank) AS blank,
+         count_if(is_duplicate) AS duplicate, count_if(cut) AS truncated,
+         count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT o.conv_id, COALESCE(c.gaps, 0)::BIGINT AS gaps, COALESCE(c.blank, 0)::BIGINT AS blank,
+       COALESCE(c.duplicate, 0)::BIGINT AS duplicate, COALESCE(c.truncated, 0)::BIGINT AS truncated,
+       COALESCE(c.illegal, 0)::BIGINT AS illegal, COALESCE(a.cost, 0)::BIGINT AS cost, COALESCE(a.audit, '') AS audit,
+       sha256(COALESCE(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_nearest": op2_nearest,
@@ -214,6 +306,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 
@@ -224,4 +317,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     # op2's doubles are summed in another order by SQL; tests hold it against brute force
-    return {"op6_line_dedup": OP6_SQL, "op7_sharding": OP7_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op7_sharding": OP7_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL,
+            "op13_conversation_repair": OP13_SQL}
