@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caremart.llm import (ann, conversation_repair, decontaminate, html_extract, jaccard_join, line_dedup, mixing, sharding,
-                          token_counts, token_orc, toxicity)
+from caremart.llm import (ann, conversation_repair, decontaminate, hard_negatives, html_extract, jaccard_join, line_dedup,
+                          mixing, sharding, token_counts, token_orc, toxicity)
 from caremart.llm.common import only, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -295,6 +300,27 @@ LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+OP12_SQL = """
+WITH rows AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, a.v AS anchor, a.label AS own, r.id, r.label, r.v, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.id % 100 = 0 AND len(a.v) = len(r.v) AND (a.id, a.label, a.v) <> (r.id, r.label, r.v)),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id, own, anchor ORDER BY score DESC, id, v) AS nth
+  FROM scored WHERE label = own),
+found AS (
+  SELECT p.anchor_id, p.own, p.anchor, p.nth, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.own, p.anchor, p.nth ORDER BY s.score DESC, s.id, s.label, s.v)::INTEGER AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.anchor = p.anchor
+    AND s.label <> p.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+  WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 10
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_nearest": op2_nearest,
@@ -306,6 +332,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
@@ -318,4 +345,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     # op2's doubles are summed in another order by SQL; tests hold it against brute force
     return {"op6_line_dedup": OP6_SQL, "op7_sharding": OP7_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL,
-            "op13_conversation_repair": OP13_SQL}
+            "op12_hard_negatives": OP12_SQL, "op13_conversation_repair": OP13_SQL}
