@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caremart.llm import (ann, conversation_repair, decontaminate, hard_negatives, html_extract, jaccard_join, line_dedup,
-                          mixing, sharding, token_counts, token_orc, toxicity)
+                          mixing, quality_mil, sharding, token_counts, token_orc, toxicity)
 from caremart.llm.common import only, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    found = quality_mil.score(docs, model, ["doc_id"])
+    return found.select("doc.doc_id", toxicity.held_out("doc.doc_id").alias("held_out"), "score", "predicted")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -332,6 +339,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_quality": op11_quality,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
