@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from caremart.functions.cleaning import parse_date
 from caremart.functions.predicates import to_date_value
 from caremart.operators.joins import bounded_broadcast, bounded_like, keys_seen
+from caremart.operators.timeline import Versions, closed_by, columns_of, placed, spans
 
 # The open end date, and the change-reason labels written into
 # the eligibility history.
@@ -117,12 +118,11 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
       with the greatest ``id_col``; a key's other changes become successive
       versions in order of their start (a missing start first).  Each but the
       last is closed at the start of the next one.
-    * Changes up to the last that equals the current row on ``tracked``
-      (null-safe) are already stored, and a change that equals the one before
-      it is none, so a batch applied twice changes nothing.
+    * A change that equals the current row, or the change before it, on
+      ``tracked`` (null-safe) is none, so a batch applied twice changes nothing.
     * If changes remain, the current row is closed at ``as_of`` and versions
       from ``max(version) + 1`` on are added with a status-based reason.
-      Closed history is never touched.
+      Closed history is only touched by late changes.
     * Keys whose stored rows are all closed get new versions too; nothing is
       closed for them.
     * Keys the table has never seen start with version 1, ``New Enrollment``.
@@ -130,33 +130,53 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
       gets all of them closed before its new versions.
     * ``start_policy="source"`` starts a new version at the change row's own
       start date (periods of one member may then overlap, as in the source
-      notebooks); ``"as_of"`` starts it at ``as_of`` (no overlap).
+      notebooks).  A change that starts before the current row arrives late: it
+      splits the stored version in force at its start, ends where the next one
+      starts, and the current row stays current.
+    * ``"as_of"`` starts a version at ``as_of`` (no overlap, nothing is late; changes
+      up to the last that equals the current row count as stored).
+    * ``"timeline"`` places every change by its own start (``timeline``), whatever
+      order the batches come in: stored versions end where the next one starts,
+      ``as_of`` closes nothing, and periods neither overlap nor leave gaps.  Of
+      changes with one start the greatest ``id_col`` holds, stored ones included.
     """
-    if start_policy not in ("source", "as_of"):
-        raise ValueError("start_policy must be 'source' or 'as_of'")
+    if start_policy not in ("source", "as_of", "timeline"):
+        raise ValueError("start_policy must be 'source', 'as_of' or 'timeline'")
+    missing = [c for c in changes.columns if c not in current.columns]
+    if missing:
+        raise ValueError(f"change set has columns the table lacks: {missing}")
+    if start_policy == "timeline":
+        return _place_eligibility(current, changes, key, tracked, as_of_ts, start_col, id_col, keep_repeats=True)
     as_of_date = to_date_value(as_of) if as_of is not None else _dt.date.today()
-    base_cols = list(changes.columns)
     named = changes.where(F.col(key).isNotNull()).withColumn("__start", parse_date(start_col))
     chg, small = bounded_broadcast(
         latest_per_key(named, [key, "__start"], [F.col(id_col)] if id_col else []))
 
-    # what the table holds of the batch's keys, from one scan: a current row, its tracked values
-    # (least and greatest, should a key have several current rows) and the last version
+    # what the table holds of the batch's keys, from one scan: a current row, its start and tracked
+    # values (least and greatest, should a key have several current rows) and the last version
     is_current = F.coalesce(F.col("is_current_record"), F.lit(False))
     held = F.when(is_current, F.struct(*tracked))
     state = (current.join(bounded_like(chg.select(key), small), key, "left_semi")
              .groupBy(key).agg(F.max(is_current).alias("__current"), F.min(held).alias("__low"),
-                               F.max(held).alias("__high"), F.max("version_number").alias("__max_version")))
+                               F.max(held).alias("__high"), F.max("version_number").alias("__max_version"),
+                               F.max(F.when(is_current, F.col("record_start_date"))).alias("__since")))
+    judged, small = bounded_broadcast(chg.join(bounded_like(state, small), key, "left"))
+    late = F.lit(start_policy == "source") & F.coalesce("__current", F.lit(False)) & F.coalesce(
+        F.col("__start") < F.col("__since"), F.lit(False))
 
-    # a key's changes in order of their start: those up to the one that stands are already stored
+    # a key's changes in order of their start: those that equal what stands already are none
     steps = Window.partitionBy(key).orderBy("__start")
     stands = F.coalesce(F.col("__current"), F.lit(False))
     for c in tracked:
         for side in ("__low", "__high"):
             stands = stands & F.col(c).eqNullSafe(F.col(side).getField(c))
     values = F.struct(*tracked)
-    kept = (chg.join(bounded_like(state, small), key, "left")
-            .withColumns({"__stored": F.max(stands).over(steps.rowsBetween(0, Window.unboundedFollowing)),
+    if start_policy == "as_of":
+        stored = F.max(stands).over(steps.rowsBetween(0, Window.unboundedFollowing))
+    else:
+        stored = stands & F.lag(F.lit(True)).over(steps).isNull()
+    kept = (judged.where(~late)
+            .withColumns({"__stored": stored,
                           "__same": F.coalesce(values.eqNullSafe(F.lag(values).over(steps)), F.lit(False))})
             .where(~F.col("__stored") & ~F.col("__same")))
     changed_keys = bounded_like(kept.where("__current").select(key).distinct()
@@ -186,11 +206,29 @@ def scd2_apply(current: DataFrame, changes: DataFrame, key: str = "member_id",
         .otherwise(change_reason("eligibility_status")),
         "version_number": (F.coalesce("__max_version", F.lit(0)) + nth).cast("int"),
         "created_timestamp": _ts(as_of_ts)})
-    cols = list(current.columns)
-    missing = [c for c in base_cols if c not in cols]
-    if missing:
-        raise ValueError(f"change set has columns the table lacks: {missing}")
-    return existing.select(*cols).unionByName(added.select(*cols))
+    out = existing.select(*current.columns).unionByName(added.select(*current.columns))
+    late_rows = judged.where(late).select(*changes.columns)
+    if late_rows.isEmpty():  # the batch is stored: this reads no table
+        return out
+    return _place_eligibility(out, late_rows, key, tracked, as_of_ts, start_col, id_col, keep_repeats=False)
+
+
+def _place_eligibility(current: DataFrame, changes: DataFrame, key: str, tracked: Sequence[str], as_of_ts,
+                       start_col: str, id_col: str | None, keep_repeats: bool) -> DataFrame:
+    """The table with ``changes`` placed among its versions by their own start."""
+    kind = Versions(key, "record_start_date", "record_end_date", "is_current_record", tuple(tracked),
+                    (id_col,) if id_col else tuple(tracked), OPEN_END, keep_repeats, "version_number")
+    found, small = placed(current, changes, kind, parse_date(start_col), F.col("change_reason") == NEW_ENROLLMENT)
+    enrolled = F.col("__led") & (F.col("change_reason") == NEW_ENROLLMENT)
+    existing = closed_by(current, found, small, kind).withColumn(
+        "change_reason", F.when(enrolled, change_reason("eligibility_status")).otherwise(F.col("change_reason")))
+    added = (found.select(*columns_of(found, changes.columns), *[c for c in found.columns if c not in (key, "row")])
+             .withColumns({**spans(found, kind), "record_start_date": parse_date(start_col),
+                           "change_reason": F.when(F.col("first") & (~F.col("known") | F.col("marked")), NEW_ENROLLMENT)
+                           .otherwise(change_reason("eligibility_status")),
+                           "version_number": (F.coalesce("number", F.lit(0)) + F.col("nth")).cast("int"),
+                           "created_timestamp": _ts(as_of_ts)}))
+    return existing.select(*current.columns).unionByName(added.select(*current.columns))
 
 
 def change_summary(scd2: DataFrame) -> DataFrame:
@@ -260,57 +298,24 @@ def upsert_summary(before: DataFrame, after: DataFrame, changes: DataFrame,
 
 def scd2_apply_dim(dim: DataFrame, updates: DataFrame, natural_key: str = "provider_id",
                    start: str = "start_date", end: str = "end_date", current: str = "is_current",
-                   surrogate_key: str = "provider_key") -> DataFrame:
+                   surrogate_key: str = "provider_key", keep_repeats: bool = False) -> DataFrame:
     """M8: apply new versions to a dimension with surrogate keys.
 
     Update rows carry their own surrogate key and ``start`` date.  Updates with one natural key and one
-    start are reduced to the greatest surrogate key; a key's other updates become successive versions in
-    order of their start, each but the last closed at the start of the next one.  The first that differs
-    from the current row in any attribute (null-safe) closes it at its own start; the last becomes current
-    with an open (null) end.  An update that equals the one before it, or the current row, changes
-    nothing, and so does one whose version (start and attributes) the dimension holds, unless all rows of
-    its key are closed.  Natural keys that are unknown, or have closed rows only, are inserted;
-    updates with a null natural key are left out.
+    start are reduced to the greatest surrogate key.  Each update is placed among the stored versions of
+    its key by its start, also before the current one (``timeline``): the version in force there is closed
+    at the update's start, the update where the next version starts; the last becomes current with an
+    open (null) end.  At one start the greater surrogate key holds, so periods are never negative.  An
+    update that equals the version in force at its start in all attributes (null-safe) changes nothing;
+    with ``keep_repeats`` it does unless it has that version's start too, and then a batch gives the same
+    periods whole or split, in any order.  Natural keys that are unknown, or have closed rows only, are
+    inserted; updates with a null natural key are left out.
     """
-    attrs = [c for c in dim.columns if c not in (natural_key, start, end, current, surrogate_key)]
-    upd, small = bounded_broadcast(
-        latest_per_key(updates.where(F.col(natural_key).isNotNull()), [natural_key, start],
-                       [F.col(surrogate_key)]))
-
-    # what the dimension holds of each update's key, from one scan: a current row, its attributes
-    # (least and greatest, should a key have several current rows), and the update's own version
-    new = bounded_like(upd.select(natural_key, F.col(start).alias("__new_start"),
-                                  *[F.col(c).alias(f"__new_{c}") for c in attrs]), small)
-    is_current = F.coalesce(F.col(current), F.lit(False))
-    held = F.when(is_current, F.struct(*attrs))
-    version = F.col(start).eqNullSafe(F.col("__new_start")) & ~_differs(attrs, "__new_", "")
-    state = (dim.join(new, natural_key).withColumn("__version", version)
-             .groupBy(F.col(natural_key).alias("__key"), "__new_start")
-             .agg(F.max(is_current).alias("__current"), F.min(held).alias("__low"),
-                  F.max(held).alias("__high"), F.max("__version").alias("__held")))
-
-    steps = Window.partitionBy(natural_key).orderBy(start)
-    stands = F.coalesce(F.col("__current"), F.lit(False))
-    stored = stands & F.coalesce(F.col("__held"), F.lit(False))
-    for c in attrs:
-        for side in ("__low", "__high"):
-            stands = stands & F.col(c).eqNullSafe(F.col(side).getField(c))
-    values = F.struct(*attrs)
-    own = (F.col(natural_key) == F.col("__key")) & F.col(start).eqNullSafe(F.col("__new_start"))
-    kept = (upd.join(bounded_like(state, small), own, "left")
-            .withColumn("__same", F.coalesce(values.eqNullSafe(F.lag(values).over(steps)), F.lit(False)))
-            .where(~stored & ~F.col("__same"))
-            .withColumn("__nth", F.row_number().over(steps))
-            .where((F.col("__nth") > 1) | ~stands))
-    closes = bounded_like(kept.where("__current").groupBy(natural_key)
-                          .agg(F.min(start).alias("__close_at")), small)
-    closing = F.col("__close_at").isNotNull() & F.col(current)
-    existing = (dim.join(closes, natural_key, "left")
-                .withColumns({end: F.when(closing, F.col("__close_at")).otherwise(F.col(end)),
-                              current: F.when(closing, F.lit(False)).otherwise(F.col(current))})
-                .drop("__close_at"))
-    added = kept.withColumns({end: F.lead(start).over(steps).cast("date"),
-                              current: F.lead(F.lit(True)).over(steps).isNull()})
+    attrs = tuple(c for c in dim.columns if c not in (natural_key, start, end, current, surrogate_key))
+    kind = Versions(natural_key, start, end, current, attrs, (surrogate_key,), None, keep_repeats)
+    found, small = placed(dim, updates, kind)
+    existing = closed_by(dim, found, small, kind)
+    added = (found.select(*columns_of(found, updates.columns), "next_at").withColumns(spans(found, kind)))
     return existing.select(*dim.columns).unionByName(added.select(*dim.columns))
 
 

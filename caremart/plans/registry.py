@@ -368,6 +368,17 @@ register("scd2_apply", O.SCD2_APPLY)(lambda spark, sf: _no_ts(_scd2(spark, sf)))
 register("scd2_second_run", O.SCD2_SECOND_RUN)(
     lambda spark, sf: _no_ts(scd.scd2_apply(_scd2_stored(spark, sf), wh(spark, sf).eligibility_later_updates,
                                             as_of=O.AS_OF_LATER)))
+
+
+@register("scd2_late_changes", O.SCD2_LATE_CHANGES)
+def _scd2_late_changes(spark, sf):
+    w = wh(spark, sf)
+    table = _scd2_init(spark, sf)
+    for batch in (w.eligibility_later_updates, w.eligibility_late_updates):
+        table = scd.scd2_apply(table, batch, start_policy="timeline")
+    return _no_ts(table)
+
+
 register("change_summary", O.CHANGE_SUMMARY)(
     lambda spark, sf: scd.change_summary(_scd2_stored(spark, sf)))
 
@@ -396,6 +407,8 @@ def _dim2(spark, sf):
 
 
 register("scd2_apply_dim", O.SCD2_APPLY_DIM)(_dim2)
+register("scd2_dim_late_updates", O.SCD2_DIM_LATE)(
+    lambda spark, sf: scd.scd2_apply_dim(_dim2(spark, sf), wh(spark, sf).dim_provider_late_updates))
 
 
 @register("assign_dim_key", O.ASSIGN_DIM_KEY)

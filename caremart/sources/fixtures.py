@@ -128,6 +128,32 @@ select cast(600000 + c_custkey as int), cast(c_custkey as int), '4/15/2003',
 from customer where c_custkey % 10 = 0 or c_custkey % 50 = 9
 """
 
+# A batch that arrives after the later one although much of it starts earlier: before
+# everything that is stored, between stored versions, at a stored start (a correction
+# with a greater id, and a stale row with a smaller one), and for unknown members.
+ELIGIBILITY_LATE_UPDATES_SQL = """
+select cast(900000 + c_custkey as int) as eligibility_id, cast(c_custkey as int) as member_id,
+  '1994-03-01' as eligibility_start_date, '1994-12-31' as eligibility_end_date, 'Pending' as eligibility_status
+from customer where c_custkey % 4 = 0
+union all
+select cast(1200000 + c_custkey as int), cast(c_custkey as int), '9/15/2002', null,
+  case when c_custkey % 2 = 0 then 'Suspended' else 'Active' end
+from customer where c_custkey % 5 = 0
+union all
+select cast(1500000 + c_custkey as int), cast(c_custkey as int), '2002-03-01', '2005-03-31', 'Active'
+from customer where c_custkey % 15 = 0
+union all
+select cast(50000 + c_custkey as int), cast(c_custkey as int), '2002-03-01', '2001-01-31', 'Terminated'
+from customer where c_custkey % 25 = 0
+union all
+select cast(1800000 + c_custkey as int), cast(c_custkey as int), '2001-06-01', '2003-04-14', 'Active'
+from customer where c_custkey % 50 = 9
+union all
+select cast(2100000 + c_custkey as int), cast(5000000 + c_custkey as int),
+  case when c_custkey % 60 = 0 then '2003-01-01' else '3/31/1999' end, null, 'Active'
+from customer where c_custkey % 30 = 0
+"""
+
 # Surrogate-key provider dimension (type 2) and its change rows: every
 # supplier is a provider valid from 1995-01-01; every fifth supplier moves to a
 # new state on 1998-06-15 (new surrogate key), and a tenth of those are
@@ -157,6 +183,25 @@ from supplier join nation on (s_nationkey + 1) % 25 = n_nationkey
 where s_suppkey % 5 = 0
 """
 
+# Updates of the same dimension that arrive later but start earlier; some repeat what
+# is in force at their start, some correct the version that starts on 1998-06-15.
+DIM_PROVIDER_LATE_UPDATES_SQL = """
+select cast(2000000 + s_suppkey as int) as provider_key,
+  concat('PR', cast(s_suppkey as string)) as provider_id, s_name as provider_name,
+  'Oncology' as specialty, n_name as state, date '1996-02-01' as start_date,
+  cast(null as date) as end_date, true as is_current
+from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 5 <= 1
+union all
+select cast(3000000 + s_suppkey as int), concat('PR', cast(s_suppkey as string)), s_name,
+  case when s_suppkey % 4 = 0 then 'Cardiology' when s_suppkey % 4 = 1 then 'Pediatrics' when s_suppkey % 4 = 2 then 'Orthopedics' else 'Family Medicine' end,
+  n_name, case when s_suppkey % 2 = 0 then date '1994-01-01' else date '1997-01-01' end, cast(null as date), true
+from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 0
+union all
+select cast(4000000 + s_suppkey as int), concat('PR', cast(s_suppkey as string)), s_name,
+  'Radiology', n_name, date '1998-06-15', cast(null as date), true
+from supplier join nation on (s_nationkey + 2) % 25 = n_nationkey where s_suppkey % 15 = 0
+"""
+
 DOMAIN_SQL = {
     "claims": CLAIMS_SQL,
     "pharmacy_claims": PHARMACY_CLAIMS_SQL,
@@ -166,8 +211,10 @@ DOMAIN_SQL = {
     "eligibility": ELIGIBILITY_SQL,
     "eligibility_updates": ELIGIBILITY_UPDATES_SQL,
     "eligibility_later_updates": ELIGIBILITY_LATER_UPDATES_SQL,
+    "eligibility_late_updates": ELIGIBILITY_LATE_UPDATES_SQL,
     "dim_provider": DIM_PROVIDER_SQL,
     "dim_provider_updates": DIM_PROVIDER_UPDATES_SQL,
+    "dim_provider_late_updates": DIM_PROVIDER_LATE_UPDATES_SQL,
 }
 
 # Names the reference's notebooks use for the same tables.
