@@ -10,7 +10,7 @@ from caremart.functions import (age_band, apply_filters, filter_keys, in_date_ra
 from caremart.operators.dimensions import (as_of_join, claims_with_dimensions,
                                            eligibility_impact, left_dimension, location_impact)
 from caremart.operators.enrich import enhance_claims, repair_amounts
-from caremart.operators.params import (QueryValidationError, claims_by_date_range, claims_summary,
+from caremart.operators.params import (InvalidArguments, claims_by_date_range, claims_summary,
                                        dynamic_analysis, filtered_view, grouped_summary,
                                        run_named_query, service_provider_summary,
                                        state_service_summary, validated_claims_summary,
@@ -36,4 +36,4 @@ from caremart.operators.snapshots import age_bands, paid_claims_snapshot
 from caremart.sources import (Warehouse, change_set, empty_table, load_or_init_scd2, preview,
                               register_view, table, write_path, write_table)
 
-__version__ = "0.1.0"
+__version__ = "0.3.0"

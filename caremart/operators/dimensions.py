@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import money_avg, money_sum, parse_date, safe_double
 from caremart.functions.predicates import to_date_value
+from caremart.sources.layout import day_of, in_days
 
 OPEN_END = "9999-12-31"
 
@@ -37,27 +38,25 @@ def as_of_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key, fact_date,
     current rows.
     """
     f = fact.alias("__f")
-    d = dim.alias("__d")
-    if current_only:
-        d = d.where(F.col(current_only))
+    # the period is parsed once per dimension row, before the join
+    since, until = (parse_date(c) if dict(dim.dtypes)[c] == "string" else F.col(c) for c in (start, end))
+    if open_end_null:
+        until = F.coalesce(until, F.lit(to_date_value(OPEN_END)))
+    d = dim.where(F.col(current_only)) if current_only else dim
+    d = d.withColumns({"__since": since, "__until": until}).alias("__d")
     fk = F.col(f"__f.{fact_key}") if isinstance(fact_key, str) else fact_key
     dk = F.col(f"__d.{dim_key}") if isinstance(dim_key, str) else dim_key
     fd = F.col(f"__f.{fact_date}") if isinstance(fact_date, str) else fact_date
-    s, e = F.col(f"__d.{start}"), F.col(f"__d.{end}")
-    s = parse_date(s) if dict(dim.dtypes)[start] == "string" else s
-    e = parse_date(e) if dict(dim.dtypes)[end] == "string" else e
-    if open_end_null:
-        e = F.coalesce(e, F.lit(to_date_value(OPEN_END)))
-    cond = (fk == dk) & (fd >= s) & ((fd < e) if half_open else (fd <= e))
-    return f.join(d, cond, how)
+    cond = (fk == dk) & (fd >= F.col("__d.__since")) & (
+        fd < F.col("__d.__until") if half_open else fd <= F.col("__d.__until"))
+    return f.join(d, cond, how).drop("__since", "__until")
 
 
 def claims_with_dimensions(claims: DataFrame, eligibility: DataFrame, providers: DataFrame,
                            since="2024-01-01") -> DataFrame:
     """Claims since a date with the member's eligibility at the service
     date (point in time) and the provider's current attributes."""
-    c = claims.withColumn("__dos", parse_date("date_of_service"))
-    c = c.where(F.col("__dos") >= F.lit(to_date_value(since)))
+    c = claims.where(in_days(claims, since)).withColumn("__dos", day_of(claims))
     e = eligibility.select(
         F.col("member_id").cast("string").alias("__emember"),
         "eligibility_status", "eligibility_start_date", "eligibility_end_date")

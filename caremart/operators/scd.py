@@ -341,6 +341,42 @@ def assign_dim_key(facts: DataFrame, dim: DataFrame, fact_key: str = "provider_i
             .withColumnRenamed("__sk", surrogate_key).drop("__nk", "__s", "__e"))
 
 
+# -- whole runs over committed table versions -----------------------------------
+
+def run_scd2_versions(table, base: DataFrame, changes: DataFrame, as_of=None, keep: int = 2, **apply_args):
+    """One eligibility SCD2 run on a ``VersionedTable``; returns the version it committed.
+
+    The table is initialised from ``base`` if it has no version yet.  The run reads the version that is
+    current at its start and commits the next one, or fails if another run committed meanwhile; its notes
+    hold the rows by change reason.  The ``keep`` newest versions stay.
+    """
+    before = table.load_or_init(lambda: scd2_init(base))
+    after = scd2_apply(table.read(before), changes, as_of=as_of, **apply_args)
+    folder = table.stage(after)
+    stored = table.spark.read.schema(after.schema).parquet(f"{table.path}/{folder}")
+    notes = {r["change_reason"]: r["count"] for r in change_summary(stored).collect()}  # one row per label
+    version = table.publish(folder, after.schema, before, notes)
+    table.retain(keep)
+    return version
+
+
+def run_scd1_versions(table, changes: DataFrame, key: str = "provider_id",
+                      update_columns: Sequence[str] | None = None, keep: int = 2):
+    """One provider SCD1 run on a ``VersionedTable`` with at least one version.
+
+    Returns the committed version; its notes hold the counts of M7, taken against the version before.
+    """
+    before = table.current()
+    rows = table.read(before)
+    keys, small = bounded_broadcast(changes.where(F.col(key).isNotNull()).select(key).distinct())
+    seen = bounded_like(keys_seen(rows, keys, key, small), small)
+    processed, new = keys.count(), keys.join(seen, key, "left_anti").count()
+    version = table.write(scd1_upsert(rows, changes, key, update_columns), before,
+                          {"records_processed": processed, "new_records": new, "updated_records": processed - new})
+    table.retain(keep)
+    return version
+
+
 # -- whole runs over catalog tables ---------------------------------------------
 
 def run_scd2(spark, target: str, base: DataFrame, changes: DataFrame, as_of=None,

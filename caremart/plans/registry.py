@@ -7,15 +7,19 @@ folder; none runs on a subset or on made-up input.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caremart import sources
 from caremart.functions import predicates
 from caremart.operators import dimensions, enrich, params, pharmacy, quality, reports, scd, snapshots
 from caremart.plans import oracles as O
-from caremart.sources.tables import Warehouse
+from caremart.sources.tables import Warehouse, shared_path
+from caremart.sources.versions import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,7 +206,7 @@ def _top_paid_by_payor(spark, sf):
 
 def _cwd(spark, sf):
     w = wh(spark, sf)
-    return dimensions.claims_with_dimensions(w.claims, w.eligibility, w.providers, since=O.SINCE)
+    return dimensions.claims_with_dimensions(w.claims_by_month, w.eligibility, w.providers, since=O.SINCE)
 
 
 @register("claims_with_dimensions", O.CLAIMS_WITH_DIMENSIONS)
@@ -222,17 +226,22 @@ def _location_impact(spark, sf):
 
 # -- parameterised summaries (Q1-Q10, S6) -----------------------------------
 
+def _monthly(spark, sf):
+    """Claims as stored by service month, for date ranges."""
+    return wh(spark, sf).claims_by_month
+
+
 _P = O.P
 
 
 @register("claims_by_date_range", O.q1_sql(_P["start"], _P["end"]))
 def _q1(spark, sf):
-    return params.claims_by_date_range(_claims(spark, sf), _P["start"], _P["end"])
+    return params.claims_by_date_range(_monthly(spark, sf), _P["start"], _P["end"])
 
 
 @register("claims_by_date_range_filtered", O.q1_sql(_P["start"], _P["end"], "Inpatient", 10000))
 def _q1_filtered(spark, sf):
-    return params.claims_by_date_range(_claims(spark, sf), _P["start"], _P["end"],
+    return params.claims_by_date_range(_monthly(spark, sf), _P["start"], _P["end"],
                                        service_type="Inpatient", min_amount=10000)
 
 
@@ -247,35 +256,35 @@ _Q2_CONFIG = {
 @register("dynamic_analysis", O.q2_sql(_P["start"], _P["end"], _P["states"], 18, 65,
                                        ["Inpatient", "Outpatient"], ["In Network"]))
 def _q2(spark, sf):
-    return params.dynamic_analysis(_claims(spark, sf), _Q2_CONFIG)
+    return params.dynamic_analysis(_monthly(spark, sf), _Q2_CONFIG)
 
 
 @register("state_service_summary", O.q3_sql(_P["start"], _P["end"], _P["states"], _P["min_amount"]))
 def _q3(spark, sf):
-    return params.state_service_summary(_claims(spark, sf), _P["start"], _P["end"],
+    return params.state_service_summary(_monthly(spark, sf), _P["start"], _P["end"],
                                         states=_P["states"], min_amount=_P["min_amount"])
 
 
 @register("claims_summary_all_services", O.q4_sql(_P["start"], _P["end"], "All", _P["states"], 0))
 def _q4(spark, sf):
-    return params.claims_summary(_claims(spark, sf), _P["start"], _P["end"], service_type="All",
+    return params.claims_summary(_monthly(spark, sf), _P["start"], _P["end"], service_type="All",
                                  states=_P["states"], min_amount=0)
 
 
 @register("claims_summary_one_service", O.q4_sql(_P["start"], _P["end"], "Emergency", None, 0))
 def _q4_one(spark, sf):
-    return params.claims_summary(_claims(spark, sf), _P["start"], _P["end"],
+    return params.claims_summary(_monthly(spark, sf), _P["start"], _P["end"],
                                  service_type="Emergency", min_amount=0)
 
 
 @register("service_provider_summary", O.q5_sql(_P["start"], _P["end"], 5000))
 def _q5(spark, sf):
-    return params.service_provider_summary(_claims(spark, sf), _P["start"], _P["end"], 5000)
+    return params.service_provider_summary(_monthly(spark, sf), _P["start"], _P["end"], 5000)
 
 
 @register("view_state_totals", O.q6_sql(_P["start"], _P["end"], _P["states"][:2], _P["min_amount"]))
 def _q6(spark, sf):
-    params.filtered_view(_claims(spark, sf), "filtered_claims", _P["start"], _P["end"],
+    params.filtered_view(_monthly(spark, sf), "filtered_claims", _P["start"], _P["end"],
                          states=_P["states"][:2], min_amount=_P["min_amount"])
     return params.view_state_totals(spark, "filtered_claims")
 
@@ -286,14 +295,14 @@ _Q7_FILTERS = {"State": _P["states"], "billed_amount": {"min": 1000}, "payment_s
 @register("grouped_summary", O.q7_sql(["State", "Type_of_Service"], [
     f"State IN ({O._sq(_P['states'])})", "billed_amount >= 1000", "payment_status = 'Paid'"]))
 def _q7(spark, sf):
-    return params.grouped_summary(_claims(spark, sf), ["State", "Type_of_Service"], _Q7_FILTERS)
+    return params.grouped_summary(_monthly(spark, sf), ["State", "Type_of_Service"], _Q7_FILTERS)
 
 
 @register("grouped_summary_range", O.q7_sql(["Provider_Type"], [
     "billed_amount >= 1000", "billed_amount <= 50000", "AGE >= 30", "AGE <= 60"]))
 def _q7_range(spark, sf):
     return params.grouped_summary(
-        _claims(spark, sf), ["Provider_Type"],
+        _monthly(spark, sf), ["Provider_Type"],
         {"billed_amount": {"min": 1000, "max": 50000}, "AGE": {"min": 30, "max": 60}},
         order_by="claim_count DESC")
 
@@ -301,13 +310,13 @@ def _q7_range(spark, sf):
 def _q8(name):
     def run(spark, sf):
         w = wh(spark, sf)
-        return params.run_named_query({"claims": w.claims, "providerlist": w.providerlist},
+        return params.run_named_query({"claims": w.claims_by_month, "providerlist": w.providerlist},
                                       O.Q8_CONFIG, name)
     return run
 
 
-register("named_query_monthly_summary", O.Q8_MONTHLY)(_q8("monthly_summary"))
-register("named_query_provider_performance", O.Q8_PROVIDER)(_q8("provider_performance"))
+register("named_query_network_quarters", O.Q8_QUARTERS)(_q8("network_quarters"))
+register("named_query_site_workload", O.Q8_SITES)(_q8("site_workload"))
 
 _Q9 = {"states": _P["states"], "min_amount": _P["min_amount"],
        "service_types": ["Inpatient", "Outpatient"], "payment_statuses": ["Paid", "Denied"]}
@@ -316,7 +325,7 @@ _Q9 = {"states": _P["states"], "min_amount": _P["min_amount"],
 @register("claims_summary_lists", O.q4_sql(_P["start"], _P["end"], "All", _P["states"], _P["min_amount"],
                                            _Q9["service_types"], _Q9["payment_statuses"]))
 def _q9(spark, sf):
-    return params.claims_summary(_claims(spark, sf), _P["start"], _P["end"], **_Q9)
+    return params.claims_summary(_monthly(spark, sf), _P["start"], _P["end"], **_Q9)
 
 
 # The validator's state list is the fixture's own: nation names by rule.
@@ -328,7 +337,7 @@ FIXTURE_STATES = frozenset(f"NATION_{i}" for i in range(25))
                                                _Q9["payment_statuses"]))
 def _q10(spark, sf):
     args = dict(_Q9, states=[s.lower() for s in _P["states"]])
-    return params.validated_claims_summary(_claims(spark, sf), _P["start"], _P["end"],
+    return params.validated_claims_summary(_monthly(spark, sf), _P["start"], _P["end"],
                                            valid_states=FIXTURE_STATES, **args)
 
 
@@ -352,8 +361,6 @@ def _scd2(spark, sf):
 register("scd2_init", O.SCD2_INIT)(lambda spark, sf: _no_ts(_scd2_init(spark, sf)))
 @register("scd2_changes", O.SCD2_CHANGES)
 def _scd2_changes(spark, sf):
-    from pyspark.sql import functions as F
-
     from caremart.functions.cleaning import parse_date
     latest = scd.latest_per_key(wh(spark, sf).eligibility_updates, "member_id",
                                 [parse_date("eligibility_start_date"), F.col("eligibility_id")])
@@ -401,6 +408,42 @@ register("upsert_summary", O.UPSERT_SUMMARY)(
                                          wh(spark, sf).provider_updates))
 
 
+# -- whole runs on stored tables (S7, S8) ------------------------------------------
+
+def _run_table(spark, name):
+    """A table of its own for one run, removed when the application ends."""
+    table = VersionedTable(spark, shared_path(spark, "caremart-runs", f"{name}-{uuid.uuid4().hex}"))
+    table.delete_on_exit()
+    return table
+
+
+def _provider_run(spark, sf):
+    w, table = wh(spark, sf), _run_table(spark, "providers")
+    table.write(w.providers, None)
+    scd.run_scd1_versions(table, w.provider_updates)
+    return table
+
+
+register("scd1_run", O.SCD1_UPSERT)(lambda spark, sf: _provider_run(spark, sf).read())
+
+
+@register("scd1_run_log", O.SCD1_RUN_LOG)
+def _scd1_run_log(spark, sf):
+    table = _provider_run(spark, sf)
+    rows = [table.read(v).agg(F.count(F.lit(1)).alias("total_after")).select(
+        F.lit(v.number).alias("version"), "total_after",
+        *[F.lit(v.notes.get(n, 0)).cast("long").alias(n) for n in ("records_processed", "new_records", "updated_records")])
+        for v in table.history()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("table_init_run", O.SCD2_APPLY)
+def _table_init_run(spark, sf):
+    w, table = wh(spark, sf), _run_table(spark, "eligibility")
+    scd.run_scd2_versions(table, w.eligibility, w.eligibility_updates, as_of=O.AS_OF)
+    return _no_ts(table.read())
+
+
 def _dim2(spark, sf):
     w = wh(spark, sf)
     return scd.scd2_apply_dim(w.dim_provider, w.dim_provider_updates)
@@ -413,9 +456,8 @@ register("scd2_dim_late_updates", O.SCD2_DIM_LATE)(
 
 @register("assign_dim_key", O.ASSIGN_DIM_KEY)
 def _assign_dim_key(spark, sf):
-    from pyspark.sql import functions as F
-    facts = _claims(spark, sf).select(
-        "claim_id", "member_id", scd.parse_date("date_of_service").alias("claim_date"),
+    facts = wh(spark, sf).claims_by_month.select(
+        "claim_id", "member_id", F.col("service_day").alias("claim_date"),
         F.col("billed_amount").alias("claim_amount"), F.col("ProviderID").alias("provider_id"))
     return scd.assign_dim_key(facts, _dim2(spark, sf)).drop("provider_id")
 

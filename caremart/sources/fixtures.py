@@ -36,7 +36,7 @@ select
   case when l_suppkey % 3 = 0 then 'Hospital' when l_suppkey % 3 = 1 then 'Clinic' else 'Physician' end as Provider_Type,
   n_name as State,
   case when p_type in ('ECONOMY','SMALL') then 'Inpatient' when p_type in ('MEDIUM','LARGE') then 'Outpatient' when p_type = 'PROMO' then 'Emergency' else 'Urgent Care' end as Type_of_Service,
-  cast(cast(o_orderdate as date) as string) as date_of_service,
+  case when l_linenumber = 6 then {_mdy('o_orderdate')} else cast(cast(o_orderdate as date) as string) end as date_of_service,
   case when l_linenumber = 1 then 'NULL' when l_linenumber = 2 then '' when l_linenumber = 3 then null else {_mdy('o_orderdate')} end as admission_date,
   case when l_linenumber = 1 then 'NULL' when l_linenumber = 2 then '' when l_linenumber = 3 then null else {_mdy('l_shipdate')} end as discharge_date,
   case when l_linenumber = 5 then {_mdy('l_shipdate')} else 'NULL' end as readmission_date,

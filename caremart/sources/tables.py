@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from caremart.sources.fixtures import ALIASES, DOMAIN_SOURCES, DOMAIN_SQL, FACT_SOURCES, RAW_TABLES
+from caremart.sources.layout import LAYOUT_COLUMNS, with_month, write_by_month
+
+# The claims with their typed service day, year and month: the stored layout itself.
+MONTHLY = "claims_by_month"
 
 
 class Warehouse:
@@ -58,17 +62,24 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         """Resolve a 1-, 2- or 3-part name to a domain table."""
         base = ALIASES.get(_bare(name), _bare(name))
-        if base not in DOMAIN_SQL:
+        if base not in DOMAIN_SQL and base != MONTHLY:
             raise KeyError(f"unknown table {name!r}")
         with self._lock:
             if base not in self._frames:
-                self._publish_raw()
-                df = self.spark.sql(DOMAIN_SQL[base])
-                if self.materialize:
-                    df = _materialized(self.spark, self.sf_dir, base, df)
-                self._frames[base] = df
+                if base == "claims":  # the same files without the layout's columns
+                    self._frames[base] = self.table(MONTHLY).drop(*LAYOUT_COLUMNS)
+                else:
+                    self._frames[base] = self._build(base)
             return self._frames[base]
 
+    def _build(self, base: str) -> DataFrame:
+        self._publish_raw()
+        monthly = base == MONTHLY
+        df = self.spark.sql(DOMAIN_SQL["claims" if monthly else base])
+        if self.materialize:
+            return _materialized(self.spark, self.sf_dir, base, df, write=write_by_month if monthly else None)
+        return with_month(df) if monthly else df
+
     def stored(self, name: str, build) -> DataFrame:
         """A table derived by ``build()`` and written once to the shared
         folder (like a notebook's ``saveAsTable`` followed by a re-read)."""
@@ -125,9 +136,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, place=None) -> DataFrame:
-    """``df`` as stored below ``place`` (by default the folder that applications share); written
-    beside it first, so that a copy is either whole or absent."""
+def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, place=None, write=None) -> DataFrame:
+    """``df`` as stored below ``place`` (by default the folder that applications share) by ``write``
+    (plain parquet if not given); written beside it first, so that a copy is either whole or absent."""
     from caremart import __version__
 
     folder = (place or stable_path)(spark, "caremart-tables", f"{_fingerprint(spark, sf_dir)}-v{__version__}")
@@ -135,7 +146,7 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, pl
     p, fs = _hadoop_fs(spark, path)
     if not fs.exists(p):
         stage, _ = _hadoop_fs(spark, f"{folder}/_stage-{name}-{uuid.uuid4().hex}")
-        df.write.parquet(stage.toString())
+        (write or (lambda rows, to: rows.write.parquet(to)))(df, stage.toString())
         if fs.exists(p) or not fs.rename(stage, p):
             fs.delete(stage, True)  # another application was first
     return spark.read.parquet(path)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caremart.operators import params, quality
-from caremart.operators.params import QueryValidationError, validate_summary_args
+from caremart.operators.params import InvalidArguments, check_summary_args
 from tests.conftest import rows
 
 
@@ -27,18 +27,19 @@ def _claims(spark):
 def test_validator_reports_every_error(args, n_errors):
     args = {"start_date": "2021-01-01", "end_date": "2021-06-30"} | args
     if n_errors:
-        with pytest.raises(QueryValidationError) as e:
-            validate_summary_args(**args)
-        assert len(e.value.errors) == n_errors
+        with pytest.raises(InvalidArguments) as e:
+            check_summary_args(**args)
+        assert sum(map(len, e.value.problems.values())) == n_errors
+        assert all(name in str(e.value) for name in e.value.problems)
     else:
-        validate_summary_args(**args)
+        check_summary_args(**args)
 
 
 def test_validator_normalises_and_warns():
-    kw, warns = validate_summary_args("2021-01-01", "2021-06-30", states=["wa", "Or"], min_amount="12.5")
+    kw, warns = check_summary_args("2021-01-01", "2021-06-30", states=["wa", "Or"], min_amount="12.5")
     assert kw["states"] == ["WA", "OR"] and kw["min_amount"] == 12.5 and warns == []
-    assert len(validate_summary_args("2021-01-01", "2021-06-30", states=[])[1]) == 1
-    assert len(validate_summary_args("2021-01-01", "2021-06-30", min_amount=9e6)[1]) == 1
+    assert len(check_summary_args("2021-01-01", "2021-06-30", states=[])[1]) == 1
+    assert len(check_summary_args("2021-01-01", "2021-06-30", min_amount=9e6)[1]) == 1
 
 
 def test_summaries(spark):

@@ -3,37 +3,32 @@ import tempfile
 
 from caremart.operators import scd
 from caremart.streaming import apply_change_stream, latest_version
-from tests.test_scd import ELIG, _base
+from tests.test_scd import COVER, PLAN, cover, started
 
 
-def test_change_stream_builds_versions(spark):
+def _folders():
     root = tempfile.mkdtemp(prefix="caremart-stream-")
-    feed, target, ckpt = (os.path.join(root, d) for d in ("feed", "table", "ckpt"))
-    spark.createDataFrame([(1, 1001, "1/1/2023", "6/30/2024", "Terminated"),
-                           (4, 555777888, "7/1/2024", "12/31/2024", "Active")], ELIG) \
-        .write.parquet(os.path.join(feed, "part1"))
-    stream = spark.readStream.schema(ELIG).parquet(os.path.join(feed, "*"))
-    q = apply_change_stream(stream, target, scd.scd2_init(_base(spark)), ckpt, mode="scd2",
-                            as_of="2024-07-01", as_of_ts="2024-07-01 00:00:00")
+    return tuple(os.path.join(root, d) for d in ("feed", "table", "ckpt"))
+
+
+def test_change_stream_builds_versions(spark):
+    feed, target, ckpt = _folders()
+    cover(spark, (70, 62, "2020-05-01", None, "Deferred"), (71, 88, "2021-07-01", None, "Active")).write.parquet(f"{feed}/part1")
+    stream = spark.readStream.schema(COVER).parquet(os.path.join(feed, "*"))
+    q = apply_change_stream(stream, target, started(spark), ckpt, mode="scd2", as_of="2021-09-30", as_of_ts="2021-09-30 00:00:00")
     q.awaitTermination(120)
     out = latest_version(spark, target)
-    assert out is not None and out.count() == 4 + 1 + 1
-    assert out.where("is_current_record").count() == 5
+    assert sorted((r.member_id, r.eligibility_id) for r in out.where("is_current_record").collect()) == [
+        (61, 501), (62, 70), (63, 503), (88, 71)]
+    assert out.count() == 5 and scd.change_summary(out).count() == 3
 
 
 def test_change_stream_scd1(spark):
-    from tests.test_scd import PROV
-    root = tempfile.mkdtemp(prefix="caremart-stream1-")
-    feed, target, ckpt = (os.path.join(root, d) for d in ("feed", "table", "ckpt"))
-    initial = spark.createDataFrame([(2001, "A", "Card", "Old", 1, "PR1", 1, 1),
-                                     (2002, "B", "Peds", "East", 0, "PR2", 2, 2)], PROV)
-    spark.createDataFrame([(2001, "A2", "Card", "New", 1, "PR1", 1, 1),
-                           (2003, "C", "Ortho", "West", 0, "PR3", 3, 3)], PROV) \
-        .write.parquet(os.path.join(feed, "part1"))
-    stream = spark.readStream.schema(PROV).parquet(os.path.join(feed, "*"))
-    q = apply_change_stream(stream, target, initial, ckpt, mode="scd1", key="provider_id",
-                            update_columns=["name", "practice_location"])
+    feed, target, ckpt = _folders()
+    initial = spark.createDataFrame([("X1", "Quay Clinic", "Dock 4", 10), ("X2", "Hill House", "Summit", 20)], PLAN)
+    spark.createDataFrame([("X2", "Hillside", "Summit", 99), ("X8", "Fen Ward", "Marsh", 5)], PLAN).write.parquet(f"{feed}/part1")
+    stream = spark.readStream.schema(PLAN).parquet(os.path.join(feed, "*"))
+    q = apply_change_stream(stream, target, initial, ckpt, mode="scd1", key="provider_id", update_columns=["name"])
     q.awaitTermination(120)
-    out = {r.provider_id: r for r in latest_version(spark, target).collect()}
-    assert set(out) == {"PR1", "PR2", "PR3"}
-    assert out["PR1"].name == "A2" and out["PR1"].practice_location == "New"
+    out = {r.provider_id: tuple(r) for r in latest_version(spark, target).collect()}
+    assert set(out) == {"X1", "X2", "X8"} and out["X2"] == ("X2", "Hillside", "Summit", 20)
