@@ -8,14 +8,18 @@ splits a hot fact key across tasks and replicates its few dimension rows.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caremart.operators.asof import as_of
 from caremart.functions.cleaning import money_avg, money_sum, parse_date, safe_double
 from caremart.functions.predicates import to_date_value
 from caremart.sources.layout import day_of, in_days
 
 OPEN_END = "9999-12-31"
+UNREADABLE = _dt.date(1000, 1, 1)  # in place of an end that is no date: before every service date
 
 
 def left_dimension(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
@@ -53,15 +57,18 @@ def as_of_join(fact: DataFrame, dim: DataFrame, fact_key, dim_key, fact_date,
 
 
 def claims_with_dimensions(claims: DataFrame, eligibility: DataFrame, providers: DataFrame,
-                           since="2024-01-01") -> DataFrame:
+                           since="2024-01-01", max_bytes: int | None = None) -> DataFrame:
     """Claims since a date with the member's eligibility at the service
     date (point in time) and the provider's current attributes."""
     c = claims.where(in_days(claims, since)).withColumn("__dos", day_of(claims))
     e = eligibility.select(
         F.col("member_id").cast("string").alias("__emember"),
         "eligibility_status", "eligibility_start_date", "eligibility_end_date")
-    j = as_of_join(c, e, "member_id", "__emember", "__dos",
-                   "eligibility_start_date", "eligibility_end_date")
+    periods = ("eligibility_start_date", "eligibility_end_date")
+    # a missing end leaves the claim unmatched, as an inner comparison does
+    j = as_of(c, e.where(F.col(periods[1]).isNotNull()), F.col("member_id"), F.col("__dos"), F.col("__emember"),
+              parse_date(periods[0]), F.coalesce(parse_date(periods[1]), F.lit(UNREADABLE)),
+              ["eligibility_status", *periods], max_bytes=max_bytes)
     j = left_dimension(j, providers, "ProviderID", "provider_id",
                        {"name": "provider_name", "specialty": "provider_specialty",
                         "practice_location": "practice_location", "is_pcp": "is_pcp"})

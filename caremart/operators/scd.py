@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import parse_date
 from caremart.functions.predicates import to_date_value
+from caremart.operators.asof import as_of
 from caremart.operators.joins import bounded_broadcast, bounded_like, keys_seen
 from caremart.operators.timeline import Versions, closed_by, columns_of, placed, spans
 
@@ -322,23 +323,19 @@ def scd2_apply_dim(dim: DataFrame, updates: DataFrame, natural_key: str = "provi
 def assign_dim_key(facts: DataFrame, dim: DataFrame, fact_key: str = "provider_id",
                    fact_date: str = "claim_date", natural_key: str = "provider_id",
                    start: str = "start_date", end: str = "end_date",
-                   surrogate_key: str = "provider_key") -> DataFrame:
+                   surrogate_key: str = "provider_key", max_bytes: int | None = None) -> DataFrame:
     """M9: stamp each fact with the surrogate key valid on its date.
 
     Validity is half-open ``[start, end)`` with a null end meaning open, so a
     fact dated on a change day gets the new version.  Facts without a valid
-    version keep a null key (left join).  The dimension is measured, and broadcast
-    if small, so the facts stay where they are.
+    version keep a null key (left join).  A dimension within the broadcast threshold goes
+    to the facts, which stay where they are; beyond it facts look their day up (``asof``), so neither
+    the versions of a key nor a key with many facts make one task long.
     """
     if surrogate_key in facts.columns:
         facts = facts.drop(surrogate_key)
-    d, _ = bounded_broadcast(dim.select(
-        F.col(natural_key).alias("__nk"), F.col(start).alias("__s"),
-        F.coalesce(F.col(end), F.lit(OPEN_END)).alias("__e"), F.col(surrogate_key).alias("__sk")))
-    cond = ((facts[fact_key] == d["__nk"]) & (facts[fact_date] >= d["__s"])
-            & (facts[fact_date] < d["__e"]))
-    return (facts.join(d, cond, "left")
-            .withColumnRenamed("__sk", surrogate_key).drop("__nk", "__s", "__e"))
+    return as_of(facts, dim, F.col(fact_key), F.col(fact_date), F.col(natural_key), F.col(start), F.col(end),
+                 [surrogate_key], half_open=True, max_bytes=max_bytes)
 
 
 # -- whole runs over committed table versions -----------------------------------

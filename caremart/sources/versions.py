@@ -35,7 +35,7 @@ class Version:
     folder: str
     schema: str
     at: float
-    notes: Mapping[str, int] = field(default_factory=dict)
+    notes: Mapping[str, int | str] = field(default_factory=dict)
 
 
 class VersionedTable:
@@ -88,7 +88,7 @@ class VersionedTable:
         (write or (lambda rows, to: rows.write.parquet(to)))(df, f"{self.path}/{folder}")
         return folder
 
-    def publish(self, folder: str, schema: StructType, base: Version | None, notes: Mapping[str, int] | None = None) -> Version:
+    def publish(self, folder: str, schema: StructType, base: Version | None, notes: Mapping[str, int | str] | None = None) -> Version:
         """Make a staged folder the version after ``base``, which must still be the current one."""
         now = self.current()
         if (now and now.number) != (base and base.number):
@@ -108,7 +108,7 @@ class VersionedTable:
             out.close()
         return Version(number, **content)
 
-    def write(self, df: DataFrame, base: Version | None, notes: Mapping[str, int] | None = None) -> Version:
+    def write(self, df: DataFrame, base: Version | None, notes: Mapping[str, int | str] | None = None) -> Version:
         """Stage and publish ``df`` as the version after ``base`` (None: the first)."""
         return self.publish(self.stage(df), df.schema, base, notes)
 
