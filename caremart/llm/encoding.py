@@ -2,8 +2,11 @@
 
 Valid for a tokenizer whose pre-tokenizer drops white space and treats every
 piece between white space on its own (true of ``word_bpe_49k.json``): a text's
-ids are then the ids of its chunks, one after another.  Each distinct chunk goes
-to the tokenizers library once, so the library sees a text's new words only.
+ids are then the ids of its chunks, one after another.  Arrow splits texts into
+chunks (a word's closing signs apart) and numbers the distinct ones, the cache
+answers for those it knows, and the tokenizers library encodes the rest, words
+of plain letters in one call.  A chunk is remembered from its second sight on,
+so words that occur once neither fill the cache nor push out those in use.
 """
 
 from __future__ import annotations
@@ -13,12 +16,17 @@ from array import array
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MAX_CACHED = 300_000  # chunks kept per worker; beyond it the less used half goes
-SPLIT_CHARS = 1_000_000  # texts are encoded in runs of about so many characters
+SEEN_SLOTS = 1 << 22  # a power of two; one byte each: hashes of chunks seen
+SLICE_ROWS = 1024  # texts that are Python strings at a time
+SPLIT_CHARS = 3_000_000  # texts are encoded in runs of about so many characters
 WORD_END = "</w>"  # closes the last token of every piece in a vocabulary with word ends
-# Signs that the pre-tokenizer always parts from a preceding ASCII letter.
-TAIL = ".,;:!?*%#$&\"()-"
+LETTERS = "a-zß-öø-ÿ"  # lower-case letters of Latin-1 that no normalizing changes
+# A letter and the signs between it and the chunk's end, which the pre-tokenizer always parts.
+TAIL = f"([{LETTERS}])([.,;:!?*%#$&\"()-]+)( |$)"
 
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
@@ -30,111 +38,129 @@ def encoder(path: str) -> "ChunkEncoder":
     return _ENCODERS[path]
 
 
+def _plain(text: str) -> str:
+    """Lower-cased where that can't differ from the tokenizer's own lower-casing: in Latin-1, which
+    holds no character whose lower case depends on its neighbours or is more than one."""
+    if text.isascii():
+        return text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class ChunkEncoder:
-    def __init__(self, path: str, max_cached: int = MAX_CACHED):
+    def __init__(self, path: str, max_cached: int = MAX_CACHED, seen_slots: int = SEEN_SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
         self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        # for words of LETTERS, handed over as the pre-tokenizer hands them to the model
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # a letter's bytes are its bytes read as Latin-1, but for the few that the vocabulary renames
+        letters = [chr(c) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]]
+        pieces = {c.encode().decode("latin-1"): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        self.renamed = [(plain, name) for plain, name in pieces.items() if plain != name]
         self.max_cached = max_cached
+        self.seen = np.zeros(seen_slots, np.uint8)
         self._reset()
 
     def _reset(self) -> None:
+        # every chunk's ids lie in flat; the index names those that are remembered
         self.index: dict[str, int] = {"": 0}
-        self.start, self.size = array("q", [0]), array("q", [0])  # of each chunk's ids in flat
+        self.start, self.size = array("q", [0]), array("q", [0])
         self.flat = array("I", [0])
         self.uses = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        """Keep the chunks used most, half of what the cache may hold."""
-        self.uses.resize(len(self.index))
-        least = np.partition(self.uses, -(self.max_cached // 2))[-(self.max_cached // 2)] if self.max_cached > 1 else 0
-        kept = [(c, self._ids(c), int(self.uses[i]) // 2) for c, i in self.index.items() if c and self.uses[i] > least]
+        """Drop what is not remembered, and of that the less used half if it is too much."""
+        self.uses.resize(len(self.start))
+        names = list(self.index)
+        at = np.fromiter(self.index.values(), np.int64, len(names))
+        uses = self.uses[at]
+        keep = uses > (np.partition(uses, -(self.max_cached // 2))[-(self.max_cached // 2)] if len(names) > self.max_cached > 1 else -1)
+        keep[0] = True
+        kept = np.flatnonzero(keep)
+        at, size = at[kept], np.frombuffer(self.size, np.int64)[at[kept]]
+        flat = self._gather(at, size)
         self._reset()
-        for c, ids, _ in kept:
-            self._append(c, ids)
-        self.uses = np.array([0, *(n for *_, n in kept)], np.int64)
-
-    def _append(self, chunk: str, ids) -> None:
-        self.index[chunk] = len(self.index)
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-
-    def _ids(self, chunk: str) -> array:
-        i = self.index[chunk]
-        return self.flat[self.start[i]:self.start[i] + self.size[i]]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks not seen yet; a word and its closing signs are learned apart."""
-        parted: dict[str, tuple[str, str]] = {}
-        pieces: dict[str, None] = {}
-        for c in chunks:
-            stem = c.rstrip(TAIL)
-            if stem and len(stem) < len(c) and stem[-1].isascii() and stem[-1].isalpha():
-                parted[c] = (stem, c[len(stem):])
-                pieces[stem] = pieces[c[len(stem):]] = None
-            else:
-                pieces[c] = None
-        words, others = [], []
-        for p in pieces:
-            if p not in self.index:
-                if p.isascii() and p.isalpha() and p.islower():
-                    # one piece that neither normalizing nor the byte alphabet changes
-                    self._append(p, [t.id for t in self.tokenizer.model.tokenize(p)])
-                else:
-                    (words if p.isalpha() else others).append(p)
-        others += self._learn_words(words)
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self._append(p, e.ids)
-        for c, (stem, tail) in parted.items():
-            if c not in self.index:
-                self._append(c, self._ids(stem) + self._ids(tail))
-
-    def _learn_words(self, words: list[str]) -> list[str]:
-        """Encode words of letters as one text, parted where a piece ends; returns them if some
-        word was more than one piece, so that the ends don't tell the words apart."""
-        if not words:
-            return []
-        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ends = np.flatnonzero(self.closes[np.array(ids, np.int64)]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return words
-        for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            self._append(w, ids[a:b])
-        return []
+        self.index = dict(zip((names[i] for i in kept.tolist()), range(len(kept)), strict=True))
+        self.start, self.size, self.flat = array("q"), array("q"), array("I")
+        self._store(flat, size)
+        self.uses = uses[kept] // 2
+
+    def _gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        before = np.cumsum(size) - size
+        start = np.frombuffer(self.start, np.int64)[at]
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Append the ids of new chunks; their numbers."""
+        first = len(self.start)
+        self.start.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.size.frombytes(sizes.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        return np.arange(first, first + len(sizes))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of LETTERS as one text, and how many each word has: a word's last token closes it."""
+        text = " ".join(words)
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+            for plain, name in self.renamed:
+                text = text.replace(plain, name)
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+        if len(sizes) != len(words):
+            raise ValueError("the vocabulary does not close every word with an end token")
+        return ids, sizes
+
+    def _encode_others(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of distinct chunks that are not remembered; those seen before are from now on."""
+        plain = pc.match_substring_regex(chunks, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        names = chunks.to_pylist()
+        numbers = np.zeros(len(names), np.int64)
+        for where, encode in ((np.flatnonzero(plain), self._encode_words), (np.flatnonzero(~plain), self._encode_others)):
+            if len(where):
+                numbers[where] = self._store(*encode([names[i] for i in where.tolist()]))
+        slots = np.fromiter(map(hash, names), np.int64, len(names)) & (len(self.seen) - 1)
+        again = np.flatnonzero(self.seen[slots])
+        self.seen[slots] = 1
+        self.index.update(zip([names[i] for i in again.tolist()], numbers[again].tolist(), strict=True))
+        return numbers
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each."""
-        if len(self.index) > self.max_cached:
+        if len(self.index) > self.max_cached or len(self.start) > 2 * self.max_cached:
             self._forget()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
         whole: dict[int, np.ndarray] = {}  # texts that may hold a special token's name
         for i, t in enumerate(texts):
             if "<|" in t:
                 whole[i] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-                own = [""]
-            else:
-                own = (t.lower() if t.isascii() else t).replace("\n", " ").split(" ")
-            words += own
-            counts[i] = len(own)
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        lines = pa.array(["" if i in whole else _plain(t).replace("\n", " ") for i, t in enumerate(texts)], pa.large_string())
+        chunks = pc.split_pattern(pc.replace_substring_regex(lines, TAIL, r"\1 \2\3"), " ")
+        counts = np.diff(chunks.offsets.to_numpy())
+        encoded = chunks.flatten().dictionary_encode()
+        distinct = encoded.dictionary
+        at = np.fromiter(map(self.index.get, distinct.to_pylist(), repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            unknown = [words[i] for i in missing.tolist()]
-            self._learn(set(unknown))
-            at[missing] = [self.index[w] for w in unknown]
-        uses = np.bincount(at, minlength=len(self.index))
+            at[missing] = self._learn(distinct.take(pa.array(missing)))
+        at = at[encoded.indices.to_numpy()]
+        uses = np.bincount(at, minlength=len(self.start))
         uses[:len(self.uses)] += self.uses
         self.uses = uses
         size = np.frombuffer(self.size, np.int64)[at]
-        before = np.cumsum(size) - size
-        start = np.frombuffer(self.start, np.int64)[at]
-        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+        ids = self._gather(at, size)
         lengths = np.add.reduceat(size, np.cumsum(counts) - counts) if len(texts) else counts
         if whole:
             ends = np.cumsum(lengths)

@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, separator: int = SEPA
         where, folder = fs.FileSystem.from_uri(path)
         name = f"{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.bin"
         sink, ordinal = None, 0
-        for b in slices(batches):
+        for b in slices(batches, encoding.SLICE_ROWS):
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, j in encoding.runs(texts):
                 ids, n = enc.encode(texts[i:j])

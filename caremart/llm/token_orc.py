@@ -42,7 +42,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer_path)
         part, before = TaskContext.get().partitionId(), 0
-        for b in slices(batches):
+        for b in slices(batches, encoding.SLICE_ROWS):
             keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             for i, j in encoding.runs(texts):
                 ids, n = encoding.with_end(*enc.encode(texts[i:j]), end_id)
