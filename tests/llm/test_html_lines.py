@@ -60,11 +60,59 @@ def test_paragraphs_of_an_article_beside_links_stay():
     assert H.extract(page) == f"{LONG}\n{TERSE}\n{ITALIAN}"
 
 
-def test_test_pages_keep_their_text_without_an_article(small):
+NAMES = ["content-with-sidebar", "layout-sidebar", "side-by-side", "search-engine-news", "form-guide", "menu-review", "alert-systems"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("box", ["div class", "div id", "article class", "section class"])
+def test_a_name_alone_drops_no_article(name, box):
+    tag = box.split()[0]
+    page = f"<body><nav>{MORE}</nav><{box}='{name}'><h2>Head</h2><p>{LONG}</p><p>{RUSSIAN}</p></{tag}><div class=ad>{ITALIAN}</div></body>"
+    assert H.extract(page) == f"Head\n{LONG}\n{RUSSIAN}"
+
+
+@pytest.mark.parametrize("page, want", [
+    # a headline in a header of the article
+    (f"<article><div class='article-header'><h1>Own head</h1></div><p>{LONG}</p></article>", f"Own head\n{LONG}"),
+    (f"<article><header class='entry-header'><h1>Own head</h1></header><p>{LONG}</p></article>", f"Own head\n{LONG}"),
+    # teasers and cards beside the real text
+    (f"<div id=story><p>{LONG}</p><p>{MORE}</p></div><article class=teaser><p>Hi</p></article>", f"{LONG}\n{MORE}"),
+    (f"<article class=teaser>Hi</article><div><p>{LONG}</p></div>", LONG),
+    (f"<div id=story><p>{LONG}</p></div><article><a href=x>{MORE}</a></article>", LONG),
+    # marks that stay firm
+    (f"<div><p>{LONG}</p></div><div class='layout-sidebar'><p>{MORE[:80]}</p></div>", LONG),
+    (f"<div><p>{LONG}</p></div><div class='sidebar'><p>{MORE}</p><p>{RUSSIAN}</p></div>", LONG),
+    (f"<div><p>{LONG}</p></div><div id='comments'><p>{MORE}</p><p>{RUSSIAN}</p><p>{ITALIAN}</p></div>", LONG),
+    (f"<div class='ad-unit-7'><p>{MORE}</p></div><p>{LONG}</p><div class='site-footer'>{MORE}</div><ul class='related-posts'><li>{MORE}</ul>", LONG),
+    (f"<div class='widget'><h2>Head</h2><p>{LONG}</p></div>", f"Head\n{LONG}"),  # all text there is
+    # inline adverts go, words of a sentence stay
+    (f"<article><p>{LONG} <span class='ad'>BUY <b>NOW</b></span> and on.</p><p>{MORE} <span class='note'>Yes.</span></p></article>",
+     f"{LONG} and on.\n{MORE} Yes."),
+    (f"<article><p>{LONG} <em class='promo'>never closed</p><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+    (f"<article><pre><span class='comment'># why it is so</span> x = 1</pre><p>{LONG}</p></article>", f"# why it is so x = 1\n{LONG}"),
+    # a short paragraph of an article between lists of links
+    (f"<article>{LIST}<p>It is so.</p>{LIST}<p>{LONG}</p></article>", f"It is so.\n{LONG}"),
+])
+def test_marks_and_regions_are_weighed(page, want):
+    assert H.extract(page) == want
+
+
+def test_stop_words_speak_for_a_block_and_never_against_one():
+    assert H.density("It was one of the things that they had") > 0.8 and H.density("Brass gaskets, nylon.") == 0
+    assert H.density("Это было на холме") == 0
+    short = "But it is not what they had said to him."
+    page = "<div>{}</div><ul><li><a href=a>One of the links of this page</a></li></ul>"
+    assert H.extract("<ul><li><a href=a>A link of the page</a></li></ul>" + page.format(short)) == short
+    assert H.extract("<ul><li><a href=a>A link of the page</a></li></ul>" + page.format("Copper tubing, brass fittings, gaskets.")) == ""
+
+
+@pytest.mark.parametrize("box", ["div", "section", "article", "div class='menu-review'", "div id='layout-sidebar'", "section class='content-with-sidebar'"])
+def test_test_pages_keep_their_text_in_any_box(small, box):
     import pyarrow.parquet as pq
 
     for page in pq.read_table(small + "/pages.parquet")["html"].to_pylist():
-        assert H.extract(page.replace("<article>", "<div>").replace("</article>", "</div>")) == H.extract(page) != ""
+        boxed = page.replace("<article>", f"<{box}>").replace("</article>", f"</{box.split()[0]}>")
+        assert H.extract(boxed) == H.extract(page) != ""
 
 
 @pytest.mark.parametrize("page, want", [
@@ -132,7 +180,7 @@ def test_lines(spark, sites, part):
             for i in range(80)]
     rows += [(90, None, "a"), (91, "", None), (92, "Menu", "a"), (92, "Menu", "a"), (None, "Menu\nown", "z"), (93, "x\n" * 20_000, "a")]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, n_lines int, key string").repartition(3)
-    found = L.remove(df, L.boilerplate(df, sites=sites), ["doc_id", "key"], part_keys=part)
+    found = L.remove(df, L.boilerplate(df, sites=sites), ["doc_id", "key"], broadcast_keys=part)
     got = sorted(((r["doc"]["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in found.collect()), key=str)
     assert got == brute(rows, sites)
     empty = df.limit(0)
