@@ -68,7 +68,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return mixing.mix(docs, ["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken")
+    found = mixing.ranked(mixing.mix(docs, ["doc_id"]))
+    first = {"first_position": F.get("positions", F.lit(0)), "last_position": F.try_element_at("positions", F.lit(-1)),
+             "first_rank": F.get("ranks", F.lit(0))}
+    return found.select("doc.doc_id", "size", "source_size", "target", "taken", *[c.alias(n) for n, c in first.items()])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +166,10 @@ levels AS (
   FROM weighed WINDOW f AS (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 final AS (SELECT arg_min(level, (source_size / weight, number)) AS level FROM levels WHERE level * weight <= 3 * source_size),
 targets AS (
-  SELECT source, source_size, LEAST((3 * source_size)::DOUBLE, final.level * weight) AS target
+  SELECT source, source_size, number, LEAST((3 * source_size)::DOUBLE, final.level * weight) AS target
   FROM levels, final),
 ordered AS (
-  SELECT w.*, t.source_size, t.target,
+  SELECT w.*, t.source_size, t.target, t.number,
          COALESCE(SUM(size) OVER (PARTITION BY w.source ORDER BY md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR))), doc_id, size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM words w JOIN targets t ON w.source IS NOT DISTINCT FROM t.source),
@@ -175,7 +178,23 @@ mixed AS (
          GREATEST(0, LEAST(3, floor((target - (before + size / 2)) / source_size) + 1)) END::BIGINT AS copies FROM ordered)
 """
 
-OP9_SQL = f"WITH {_MIXED} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed"
+# A source's weight runs from f to l over training; a copy's time inverts the integral of that schedule.
+OP9_SQL = f"""
+WITH {_MIXED},
+passes AS (
+  SELECT doc_id, size, source, pass, ([1.0, 2.0, 0.5]::DOUBLE[])[(number - 1) % 3 + 1] AS f, ([1.0, 0.5, 2.0]::DOUBLE[])[(number - 1) % 3 + 1] AS l,
+         CASE WHEN target = 0 THEN NULL ELSE LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, (before + size / 2 + pass * source_size) / target)) END AS share
+  FROM (SELECT *, UNNEST(range(copies)) AS pass FROM mixed)),
+timed AS (
+  SELECT *, COALESCE(LEAST(1.0::DOUBLE, CASE WHEN f = l THEN share ELSE (sqrt(f * f + 2 * (l - f) * (share * (f + l) / 2)) - f) / (l - f) END), 0.0) AS position
+  FROM passes),
+ranks AS (
+  SELECT *, row_number() OVER (ORDER BY position, {_md5_number("COALESCE(CAST(doc_id AS VARCHAR), '')")}, doc_id, pass) - 1 AS rank FROM timed),
+first AS (
+  SELECT doc_id, MIN(position) AS first_position, MAX(position) AS last_position, MIN(rank) AS first_rank FROM ranks GROUP BY doc_id)
+SELECT m.doc_id, m.size, m.source_size, m.target, m.copies * m.size AS taken, first_position, last_position, first_rank
+FROM mixed m LEFT JOIN first USING (doc_id)
+"""
 
 _WORD_PATTERN = "[0-9a-zA-Z\\x{80}-\\x{10FFFF}]+"
 

@@ -87,6 +87,41 @@ def test_curriculum(spark):
         map(tuple, mixing.mix(df, ["doc_id"], weights=(1, 1, 1)).select("doc.doc_id", "copies").collect()))
 
 
+@pytest.mark.parametrize("bucket_rows", [3, 100_000])
+def test_ranks_are_the_training_order(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rows = [(i, "w " * (i % 7), "ab"[i % 5 == 0]) for i in range(200)] + [(7, "", "a"), (7, "", "a"), (None, "x", None), (300, None, "zero")]
+    df = spark.createDataFrame([(*r, "t", 1, "b") for r in rows], KIND).repartition(5)
+    got = mixing.ranked(mixing.mix(df, ["doc_id", "bucket"])).collect()
+    assert len(got) == len(rows) and all(r["copies"] == len(r["positions"]) == len(r["ranks"]) for r in got)
+    copies = sorted(((rank, p) for r in got for rank, p in zip(r["ranks"], r["positions"], strict=True)))
+    assert [rank for rank, _ in copies] == list(range(len(copies))) and len(copies) > 100
+    assert [p for _, p in copies] == sorted(p for _, p in copies)
+    check(rows, got)
+    assert mixing.ranked(mixing.mix(df.limit(0), ["doc_id"])).collect() == []
+
+
+def time_by_steps(share, start, stop, steps=200_000):
+    """Where the integral of the schedule reaches its share, by adding it up."""
+    total, at = (start + stop) / 2, 0.0
+    for i in range(steps):
+        at += (start + (stop - start) * (i + 0.5) / steps) / steps
+        if at >= share * total:
+            return (i + 1) / steps
+    return 1.0
+
+
+def test_positions_invert_the_schedule(spark):
+    rows = [(i, "w w w w", "abc"[i % 3]) for i in range(30)]
+    df = spark.createDataFrame([(*r, "t", 1, "b") for r in rows], KIND)
+    got = sorted(mixing.mix(df, ["doc_id", "source"], weights=(1, 1, 1)).collect(), key=lambda r: r["positions"][0])
+    for source, (start, stop) in zip("abc", mixing.SCHEDULES, strict=True):
+        mine = [r["positions"][0] for r in got if r["doc"]["source"] == source]
+        assert len(mine) == 10
+        for n, p in enumerate(mine):
+            assert p == pytest.approx(time_by_steps((4 * n + 2) / 40, start, stop), abs=1e-4)
+
+
 def test_no_python_in_native_plans(spark, small):
     for name in ("op7_sharding", "op9_mixing"):
         plan = queries.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
@@ -96,7 +131,7 @@ def test_no_python_in_native_plans(spark, small):
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     return con
 
