@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, distance-weighted votes.
 
 ``fit`` takes a bounded sample of labelled rows (``MAX_TOXIC`` + ``MAX_CLEAN`` documents, the
-smallest hashes of their ids), selects the terms that tell the labels apart, and keeps the
+smallest hashes of their ids), counts near copies with one label once (half of a bottom sketch of
+five-word shingles in common), selects the terms that tell the labels apart, and keeps the
 examples' unit TF-IDF vectors over these terms in a block-max inverted index: postings by term,
 and each term's largest weight in every block of ``BLOCK`` examples.  Terms are whole words and
-the first 4 to 6 bytes of longer ones, so inflected forms meet.  Inverse document frequencies
+the first 4 to 6 bytes of longer ones (to the end of a character), so inflected forms meet.  Inverse document frequencies
 count every document of the corpus.
 
 ``score`` bounds each block by the sum of its terms' maxima, evaluates the best blocks first
@@ -22,7 +23,9 @@ ignored.  Only the text enters a score.
 
 from __future__ import annotations
 
+import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caremart.llm.common import md5_long, slices
+from caremart.llm.common import cut, md5_long, slices
 
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000  # bound of the sample of labelled rows
 MAX_TERMS = 4_096  # bound of the vocabulary, most telling first
-MIN_EXAMPLES, MIN_Z, MIN_ODDS = 5, 5.0, math.log(4)
+MIN_EXAMPLES, MIN_Z, MIN_ODDS = 3, 4.0, math.log(4)
+MIN_SHARE = 0.015  # of a label's examples that a telling term occurs in, so alike for small and large samples
+SHINGLE, SKETCH = 5, 16  # words of a shingle, and least hashes kept of a text
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -54,7 +59,33 @@ def words(text: str | None) -> list[bytes]:
 
 def terms(word: bytes) -> list[bytes]:
     """A word's terms; a prefix is marked so that it never equals a whole word."""
-    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
+    out = [word]
+    for n in PREFIXES:
+        while n < len(word) and word[n] & 0xC0 == 0x80:  # inside a character
+            n += 1
+        if n < len(word):
+            out.append(word[:n] + b"*")
+    return out
+
+
+def sketch(text: str | None) -> list[int]:
+    """The least hashes of a text's shingles (of the whole text, if it is shorter)."""
+    ws = words(text)
+    found = {zlib.crc32(b" ".join(ws[i:i + SHINGLE])) for i in range(max(1, len(ws) - SHINGLE + 1))}
+    return heapq.nsmallest(SKETCH, found)
+
+
+def independent(sketches: list[tuple[int, int, list[int]]]) -> set[int]:
+    """Ids of the examples (id, label, sketch) without near copies of an earlier one with their label."""
+    kept: set[int] = set()
+    holders: dict[tuple[int, int], list[int]] = {}
+    for i, label, own in sorted(sketches):
+        shared = Counter(j for h in own for j in holders.get((label, h), ()))
+        if not shared or 2 * max(shared.values()) < len(own):
+            kept.add(i)
+            for h in own:
+                holders.setdefault((label, h), []).append(i)
+    return kept
 
 
 class Vocabulary:
@@ -187,8 +218,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     if not n[0] or not n[1]:
         return none
     small = spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
-    picked = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-              .join(F.broadcast(small), "doc_id").select("doc_id", "toxic", "text"))
+    sampled = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                  .join(F.broadcast(small), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([sketch(t) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))],
+                names=["doc_id", "toxic", "sketch"])
+
+    # one sketch an example (an id with several texts: its least), so bounded like the sample
+    seen_once = (sampled.mapInArrow(sketches, "doc_id long, toxic int, sketch array<long>")
+                 .groupBy("doc_id", "toxic").agg(F.min("sketch").alias("sketch")).collect())
+    kept_ids = independent([(r["doc_id"], r["toxic"], r["sketch"]) for r in seen_once])
+    n = [sum(r["doc_id"] in kept_ids and r["toxic"] == c for r in seen_once) for c in (0, 1)]
+    if not n[0] or not n[1]:
+        return none
+    picked = sampled.join(F.broadcast(spark.createDataFrame([(i,) for i in kept_ids], "doc_id long")), "doc_id")\
+        .select("doc_id", "toxic", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -206,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
     pooled = (F.col("clean") + F.col("toxic") + 1) / (n[0] + n[1] + 2)
     z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    telling = (seen.filter((F.col("clean") + F.col("toxic") >= MIN_EXAMPLES)
+    spread_enough = (F.col("toxic") >= MIN_SHARE * n[1]) | (F.col("clean") >= MIN_SHARE * n[0])
+    telling = (seen.filter((F.col("clean") + F.col("toxic") >= MIN_EXAMPLES) & spread_enough
                            & (F.abs(odds) >= MIN_ODDS) & (F.abs(z) >= MIN_Z))
                .orderBy(F.desc(F.abs(z)), "term").limit(MAX_TERMS).select("term").collect())
     vocabulary = Vocabulary([bytes(r["term"]) for r in telling])

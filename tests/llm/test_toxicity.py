@@ -96,3 +96,57 @@ def test_query_on_held_out_rows(spark, small):
     right = sum(r["predicted"] == r["toxic"] for r in judged)
     assert right >= 0.93 * len(judged)
     assert got.filter(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % 4 == 2)).count() == 0
+
+
+def test_near_copies_count_once():
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base, base + " more", "other " + base, "", None, "short one", "short one", " ".join(f"v{i}" for i in range(60))]
+    got = X.independent([(i, 1, X.sketch(t)) for i, t in enumerate(texts)])
+    assert got == {0, 3, 5, 7}  # the null text is the empty one again
+    assert X.independent([(0, 0, X.sketch(base)), (1, 1, X.sketch(base))]) == {0, 1}  # other labels speak for themselves
+
+
+def test_prefixes_end_at_characters():
+    for word in ("réeuxment", "überßähl", "日本語日本語", "abcdefgh", "ab"):
+        for t in X.terms(word.encode()):
+            assert word.startswith(t.rstrip(b"*").decode())
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_whole_query_equals_all_pairs(spark, small, folder):
+    """Every document's voters and score against the cosine with every example."""
+    path = small.replace("sf0.001", folder)
+    docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
+    model = X.fit_open(docs, labels)
+    size = len(model.vocabulary.selected)
+    assert size and len(model.index.ids)
+    examples = np.zeros((len(model.index.ids), size))
+    for t, (e, w) in enumerate(model.index.postings):
+        examples[e, t] = w
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    # the examples' own vectors: unit TF-IDF of their texts
+    for e, i in enumerate(model.index.ids):
+        raw = np.zeros(size)
+        for t, c in model.vocabulary.count(texts[i]).items():
+            raw[t] = (1 + np.log(c)) * model.idf[t]
+        assert np.allclose(examples[e], raw / np.linalg.norm(raw))
+    found = {r["doc"]["doc_id"]: r for r in X.score(docs, model, ["doc_id"]).collect()}
+    assert len(found) == len(texts)
+    for i, text in texts.items():
+        raw = np.zeros(size)
+        for t, c in model.vocabulary.count(text).items():
+            raw[t] = (1 + np.log(c)) * model.idf[t]
+        r = found[i]
+        if not raw.any():
+            assert r["score"] == model.base and not r["evidence"]
+            continue
+        cosine = examples @ (raw / np.linalg.norm(raw))
+        near = sorted(((-c, d) for c, d in zip(cosine, model.index.ids.tolist(), strict=True) if c > 0))[:model.k]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], [min(1, -c) for c, _ in near])
+        # ties of equal cosine may differ in the last bit
+        sure = {d for c, d in near if not near or -c > -near[-1][0] + 1e-9}
+        assert sure <= {e["doc_id"] for e in r["evidence"]}
+        weights = np.array([1 / (1.05 - e["cosine"]) for e in r["evidence"]])
+        vote = (weights * [e["toxic"] for e in r["evidence"]]).sum() / weights.sum() if len(weights) else None
+        want = model.base if vote is None else np.interp(vote, model.votes, model.chances)
+        assert r["score"] == pytest.approx(want, abs=1e-9)
