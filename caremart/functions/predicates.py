@@ -16,11 +16,6 @@ from pyspark.sql import functions as F
 
 from caremart.functions.cleaning import parse_date
 
-# Above this many literal values a key list is joined as a frame instead of
-# being inlined into an IN list.
-INLINE_KEYS_MAX = 1000
-
-
 def to_date_value(value) -> _dt.date:
     """Driver-side bound parsing: ISO or ``M/d/yyyy`` text, or a date."""
     if isinstance(value, _dt.datetime):
@@ -79,8 +74,8 @@ def apply_filters(df: DataFrame, filters: Mapping[str, object] | None) -> DataFr
 def filter_keys(df: DataFrame, key: str, values, keep: bool = True) -> DataFrame:
     """Rows whose ``key`` is (or with ``keep=False`` is not) in ``values``.
 
-    ``values`` may be a literal list (IN, pushed to the scan) or a frame with a
-    ``key`` column (semi/anti join, so the key set never visits the driver).
+    ``values`` may be a literal list (IN, pushed to the scan; for lists that a driver holds anyway) or a
+    frame with a ``key`` column (semi/anti join, so the key set never visits the driver).
     Null keys in ``values`` match nothing, at any length and in either form;
     rows with a null key are therefore dropped by ``keep`` and kept without.
     """
@@ -88,9 +83,6 @@ def filter_keys(df: DataFrame, key: str, values, keep: bool = True) -> DataFrame
         keys = values.select(F.col(key)).where(F.col(key).isNotNull())
         return df.join(keys, on=key, how="left_semi" if keep else "left_anti")
     values = [v for v in values if v is not None]
-    if len(values) > INLINE_KEYS_MAX:
-        keys = df.sparkSession.createDataFrame([(v,) for v in values], ["key"])
-        return filter_keys(df, key, keys.select(F.col("key").cast(df.schema[key].dataType).alias(key)), keep)
     cond = F.col(key).isin(*values)
     return df.filter(cond if keep else ~cond | F.col(key).isNull())
 

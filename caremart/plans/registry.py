@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from caremart import sources
 from caremart.functions import predicates
 from caremart.operators import dimensions, enrich, params, pharmacy, quality, refresh, reports, scd, snapshots
+from caremart.operators.checked_write import write_checked
 from caremart.plans import oracles as O
+from caremart.sources.table_function import register_claims_function
 from caremart.sources.tables import Warehouse, shared_path
 from caremart.sources.versions import VersionedTable
 
@@ -289,6 +291,17 @@ def _q6(spark, sf):
     return params.view_state_totals(spark, "filtered_claims")
 
 
+@register("claims_function_totals", O.CLAIMS_FUNCTION_TOTALS)
+def _claims_function_totals(spark, sf):
+    fn = register_claims_function(spark, _monthly(spark, sf))
+    return spark.sql(f"""
+        SELECT 'states' AS part, State, COUNT(*) AS claim_count, CAST(SUM(CAST(billed_amount AS DECIMAL(28, 8))) AS DOUBLE) AS total_billed
+        FROM {fn}(DATE '{_P["start"]}', DATE '1996-06-15', array('{_P["states"][0]}', '{_P["states"][2]}'), {_P["min_amount"]}D) GROUP BY State
+        UNION ALL
+        SELECT 'late', State, COUNT(*), CAST(SUM(CAST(billed_amount AS DECIMAL(28, 8))) AS DOUBLE)
+        FROM {fn}(DATE '1998-02-10', NULL, NULL, NULL) GROUP BY State""")
+
+
 _Q7_FILTERS = {"State": _P["states"], "billed_amount": {"min": 1000}, "payment_status": "Paid"}
 
 
@@ -507,6 +520,28 @@ register("duplicate_member_versions", O.DUPLICATE_MEMBER_VERSIONS)(
 register("missing_required", O.MISSING_REQUIRED)(
     lambda spark, sf: quality.missing_required(
         wh(spark, sf).providers, ["name", "specialty", "practice_location", "provider_id"]))
+_CHECKED = {}
+
+
+def _checked(spark, sf):
+    """The providers as stored by a checked write, once per warehouse."""
+    w = wh(spark, sf)
+    if w not in _CHECKED:
+        place = _run_table(spark, "checked-providers").path
+        _CHECKED[w] = write_checked(w.providers, f"{place}/rows", ["name", "specialty", "practice_location", "provider_id"], ["name", "TaxID"])
+    return _CHECKED[w]
+
+
+register("checked_write_rejects", O.MISSING_REQUIRED)(lambda spark, sf: _checked(spark, sf).rejected)
+
+
+@register("checked_write_metrics", O.CHECKED_WRITE_METRICS)
+def _checked_write_metrics(spark, sf):
+    done = _checked(spark, sf)
+    return done.accepted.agg(F.count(F.lit(1)).alias("accepted")).select(
+        "accepted", *[F.lit(done.metrics[m]).cast("long").alias(m) for m in sorted(done.metrics)])
+
+
 register("pcp_distribution", O.PCP_DISTRIBUTION)(
     lambda spark, sf: quality.value_distribution(wh(spark, sf).providers, "is_pcp"))
 register("period_overlaps", O.PERIOD_OVERLAPS)(
