@@ -3,8 +3,9 @@
 A flat file is nothing but 16-bit little-endian token ids, each document closed by a
 separator id.  ``scan`` reads fixed blocks of such files in parallel, finds separators with
 one vectorised comparison a block, and stitches documents that cross blocks with a prefix
-scan over one small row per block: the sum of separators before a block numbers its
-documents, the last separator before it gives the first document's start.
+scan over one small row per block (file, first token, separators, last one): the sum of separators
+before a block numbers its documents, the last separator before it gives the first document's
+start.  The two carried numbers are joined back to the blocks, whose separators stay where they are.
 
 ``write`` makes such files: one per task attempt, named uniquely, and a manifest (file,
 ordinal, doc_id) that Spark commits.  A file of a lost or repeated attempt is in no
@@ -98,16 +99,16 @@ def scan(files: DataFrame, path: str, separator: int = SEPARATOR, block_tokens:
                      pa.array([r["file_tokens"]])],
                     names=["file", "first", "n_ends", "last_end", "ends", "starts", "file_tokens"])
 
-    found = (files.select("file").distinct().mapInArrow(blocks, "file string, first long, n long, file_tokens long")
+    found = cut(files.select("file").distinct().mapInArrow(blocks, "file string, first long, n long, file_tokens long")
              .repartition("file", "first")
              .mapInArrow(separators, "file string, first long, n_ends long, last_end long, ends array<long>, "
-                                     "starts array<long>, file_tokens long"))
+                                     "starts array<long>, file_tokens long"), "blocks")
     earlier = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
-        "file", "file_tokens", F.arrays_zip("starts", "ends").alias("spans"),
-        F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)).alias("before"),
+    carries = found.select(
+        "file", "first", F.coalesce(F.sum("n_ends").over(earlier), F.lit(0)).alias("before"),
         (F.coalesce(F.last("last_end", ignorenulls=True).over(earlier), F.lit(-1)) + 1).alias("carried"))
-    each = stitched.select("file", "file_tokens", "before", "carried", F.posexplode("spans").alias("i", "span"))
+    each = (found.join(carries, ["file", "first"])
+            .select("file", "file_tokens", "before", "carried", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "span")))
     start, end = F.coalesce("span.starts", "carried"), F.col("span.ends")
     return each.select("file", (F.col("before") + F.col("i")).alias("ordinal"), start.alias("start"),
                        (end - start).alias("n_tokens"), (end < F.col("file_tokens")).alias("closed"))

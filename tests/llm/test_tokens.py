@@ -1,6 +1,7 @@
 """Token files: exact ids against the library, round trips, pruning, block boundaries."""
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -96,6 +97,17 @@ def test_counts_across_blocks(spark, vocabulary, block):
         (i is None, i or 0, len(plain(vocabulary, t))) for i, t in rows)
 
 
+def test_counts_of_long_texts_beside_clashing_columns(spark, vocabulary):
+    rows = [(i, t) for i, t in enumerate(AWKWARD[10:])] + [(90, "one two " * 40_000), (91, None), (91, "z")]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "'f' AS file", "7 AS ordinal", "9 AS n_tokens", "1 AS first", "2 AS ends")
+    path = scratch(spark, "t")
+    found = token_counts.token_counts(token_counts.write(df, path, vocabulary), path, block_tokens=5000)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in found.collect()) == sorted((i, len(plain(vocabulary, t))) for i, t in rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    window = "".join(plan[plan.index("Window "):].splitlines()[:2])  # the window and the columns it gets
+    assert not re.search(r"\b(ends|starts)#", window)  # separators stay out of the prefix scan
+
+
 def test_counts_of_a_file_without_last_separator(spark):
     from pyarrow import fs
 
