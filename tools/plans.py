@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from caremart.plans.registry import queries  # noqa: E402
 from caremart.session import get_session  # noqa: E402
 
 
