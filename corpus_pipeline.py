@@ -4,6 +4,12 @@ Documents predicted toxic go; of each class of near duplicates one document stay
 that benchmark passages contaminate go; the rest is mixed to target weights (a document appears
 as often as the mix takes it, in training order); every row gets a shard.  All stages but the
 last return the columns of ``documents``; the last adds ``shard``.
+
+Defined cases: null, empty and wordless texts pass the first three stages (toxic only where the base
+rate is, in no class but their own, contaminated by nothing) and count no words in the mix, which takes
+them as its passes reach them; rows with a null ``doc_id`` are never anyone's duplicate; a null source is
+a source of its own; repeated rows leave one row, and of a class its smallest ``doc_id`` stays; further columns,
+whatever their names, are carried along; empty tables pass through.
 """
 
 from __future__ import annotations
