@@ -3,11 +3,15 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from caremart.operators.refresh import ReportStates
+from caremart.operators.reports import member_utilization
 from caremart.session import set_conf
 from caremart.sources import tables
 from caremart.sources.fixtures import DOMAIN_SQL
-from caremart.sources.layout import with_month
+from caremart.sources.layout import LAYOUT_COLUMNS, with_month
+from tests.conftest import rows
 
 
 @pytest.fixture
@@ -32,6 +36,10 @@ def folder(spark, tmp_path):
     return f"{tmp_path}/src"
 
 
+def _exchanges(plan):
+    return [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
+
+
 @pytest.mark.parametrize("threshold", ["-1", "10485760"])
 def test_stored_claims_are_the_sql_rows(spark, folder, threshold):
     with set_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": threshold}):
@@ -61,3 +69,33 @@ def test_claims_are_dealt_out_by_source_columns(spark, folder, monkeypatch):
     assert below and "claim_id" not in below and "claim_id" in plan
     assert settings == [25]  # 100 MB in parts of 4
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_member_utilization_deals_claims_out_once(spark):
+    e = spark.createDataFrame(
+        [("a", "P1", "f", 1.0, 1.0, 1, 0, 3), ("a", "P1", None, 2.5, None, 0, 1, None), ("a", None, "f", None, 2.0, 0, 0, 4),
+         ("b", None, None, 1.0, 1.0, 0, 0, None), (None, "P2", "f", 1.0, 1.0, 1, 0, 1), (None, "P3", "g", 1.0, 1.0, 1, 0, 1)],
+        "member_id string, ProviderID string, facility_name string, billed_amount double, paid_amount double, is_inpatient int, "
+        "is_readmission int, Length_of_Stay int")
+    out = member_utilization(e)
+    assert len(_exchanges(_plan(out))) == 1 and "Expand" not in _plan(out)
+    assert rows(out.select("member_id", "total_claims", "unique_providers", "unique_facilities", "total_cost", "total_paid", "inpatient_claims",
+                           "readmissions", "avg_los")) == [("a", 3, 1, 1, 3.5, 3.0, 1, 1, 3.5), ("b", 1, 0, 0, 1.0, 1.0, 0, 0, None),
+                                                           (None, 2, 2, 2, 2.0, 2.0, 2, 0, 1.0)]
+
+
+def test_states_bitmaps_are_made_once(spark, folder, tmp_path):
+    """Claims are combined before dimensions expand them; no bitmap goes through an exchange."""
+    claims = tables.Warehouse(spark, folder).claims_by_month
+    claims.write.partitionBy("service_year", "service_month").parquet(f"{tmp_path}/claims")
+    states = ReportStates(spark, f"file://{tmp_path}/claims", f"file://{tmp_path}/state")
+    plan = _plan(states._compute([0, 1996 * 12 + 1, 1996 * 12 + 2])).splitlines()
+    at = [i for i, x in enumerate(plan) if "bitmap_construct_agg" in x]
+    assert len(at) == 2 and not _exchanges("\n".join(plan[at[0]:at[1]]))
+    expands = next(i for i, x in enumerate(plan) if "Generate" in x)
+    assert any("Aggregate" in x and "billed_amount" in x for x in plan[expands:])
+    assert claims.columns[-3:] == list(LAYOUT_COLUMNS) and claims.where(F.col("service_month").isNull()).count()
