@@ -1,7 +1,9 @@
 """The stored claims are the rows of CLAIMS_SQL, and their exchanges carry source columns only."""
 
 import datetime as dt
+from urllib.parse import unquote
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,12 @@ def test_states_bitmaps_are_made_once(spark, folder, tmp_path):
     expands = next(i for i, x in enumerate(plan) if "Generate" in x)
     assert any("Aggregate" in x and "billed_amount" in x for x in plan[expands:])
     assert claims.columns[-3:] == list(LAYOUT_COLUMNS) and claims.where(F.col("service_month").isNull()).count()
+
+
+def test_stored_claims_are_compressed(spark, folder):
+    """Every column of the stored claims is written with the layout's codec, whatever the session's is."""
+    with set_conf(spark, {"spark.sql.parquet.compression.codec": "snappy"}):
+        stored = tables.Warehouse(spark, folder).claims_by_month
+    files = [f.removeprefix("file:") for f in stored.inputFiles()]
+    codecs = {pq.ParquetFile(unquote(f.replace("//", "/"))).metadata.row_group(0).column(0).compression for f in files}
+    assert files and codecs == {"ZSTD"}
