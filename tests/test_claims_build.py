@@ -7,12 +7,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from caremart.operators import refresh
 from caremart.operators.refresh import ReportStates
 from caremart.operators.reports import member_utilization
 from caremart.session import set_conf
 from caremart.sources import tables
 from caremart.sources.fixtures import DOMAIN_SQL
 from caremart.sources.layout import LAYOUT_COLUMNS, with_month
+from caremart.sources.versions import VersionedTable
 from tests.conftest import rows
 
 
@@ -110,3 +112,25 @@ def test_stored_claims_are_compressed(spark, folder):
     files = [f.removeprefix("file:") for f in stored.inputFiles()]
     codecs = {pq.ParquetFile(unquote(f.replace("//", "/"))).metadata.row_group(0).column(0).compression for f in files}
     assert files and codecs == {"ZSTD"}
+
+
+def test_refresh_bounds_its_tasks(spark, folder, tmp_path, monkeypatch):
+    """What a task of a refresh reads and sorts doesn't grow with the claims; the settings end with it."""
+    monkeypatch.setattr(refresh, "READ_BYTES", 1 << 10)
+    monkeypatch.setattr(refresh, "JOINED_BYTES", 1 << 9)
+    tables.Warehouse(spark, folder).claims_by_month.coalesce(1).write.partitionBy("service_year", "service_month").parquet(f"{tmp_path}/claims")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen, real = [spark.conf.get(n, None) for n in names], [], VersionedTable.write
+
+    def write(self, df, *rest):
+        splits = spark.read.parquet(f"{tmp_path}/claims").rdd.getNumPartitions()
+        seen.append((self.path.rsplit("/", 1)[1], [spark.conf.get(n) for n in names], splits))
+        return real(self, df, *rest)
+
+    monkeypatch.setattr(VersionedTable, "write", write)
+    states = ReportStates(spark, f"file://{tmp_path}/claims", f"file://{tmp_path}/state")
+    states.refresh()
+    size = sum(f.stat().st_size for f in (tmp_path / "claims").rglob("*.parquet"))
+    assert [(name, conf) for name, conf, _ in seen] == [("members", ["1024", "512"]), ("states", ["1024", "512"])]
+    assert all(splits >= size // 1024 for *_, splits in seen)
+    assert [spark.conf.get(n, None) for n in names] == before and states.gender_report().count() > 0
